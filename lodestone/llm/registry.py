@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from lodestone.llm.simhash import op1_simhash_near_dedup
+from lodestone.llm.substring import op4_substring_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
 }
 
 #: DuckDB has no seeded XXH64 and no component closure over Hamming balls; op1 is tested against brute force.
