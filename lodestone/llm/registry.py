@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from lodestone.llm.packing import op6_best_fit_packing
 from lodestone.llm.simhash import op1_simhash_near_dedup
 from lodestone.llm.substring import op4_substring_dedup
+from lodestone.llm.tokencount import op9_token_counts
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_token_counts": op9_token_counts,
 }
 
 #: DuckDB has no seeded XXH64 and no component closure over Hamming balls; op1 is tested against brute force.
