@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.llm.langid import op7_language_id
 from lodestone.llm.packing import op6_best_fit_packing
 from lodestone.llm.simhash import op1_simhash_near_dedup
 from lodestone.llm.substring import op4_substring_dedup
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_language_id": op7_language_id,
     "op9_token_counts": op9_token_counts,
 }
 
