@@ -54,7 +54,7 @@ class Model:
     """
 
     def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER, table_bytes: int = TABLE_BYTES):
-        self.order, self.langs = order, sorted(samples)
+        self.order, self.langs = order if samples else 0, sorted(samples)
         data, starts = {}, {}
         for lang in self.langs:
             texts = [t for t in samples[lang] if t]
@@ -90,7 +90,7 @@ class Model:
                 cost[base + at, sym, j] = np.log2((total + distinct)[at] / n)
             base += len(own)
         self.contexts = contexts
-        self.bits = np.minimum(cost * SCALE, 32767).astype(np.int16).reshape(-1, len(self.langs))
+        self.bits = np.minimum(cost * SCALE, 32767).astype(np.int16).reshape(len(cost) * self.width, len(self.langs))
         self._states()
 
     @staticmethod
