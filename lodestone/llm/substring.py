@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Words, chunks, grams, id_key, partitions, table
+from lodestone.llm.common import Words, chunks, grams, id_key, mix, partitions, table
 
 LOW48 = np.uint64(2**48 - 1)
 FOUND = "id long, th int, found binary"
@@ -154,22 +154,66 @@ def _first_level(short: int, long: int, buckets: int):
     return run
 
 
-def _answer_repeated(table_: pa.Table) -> pa.Table:
+PACKED = "dest int, ids binary, ths binary, sizes binary, vals binary"
+PACKED_TYPES = pa.schema([("dest", pa.int32()), *((x, pa.binary()) for x in ("ids", "ths", "sizes", "vals"))])
+
+
+def _address(dests: int, ids, ths, doc, values) -> pa.Table:
+    """One row for each destination that any of the documents falls to: the documents' keys, sizes and values."""
+    home = (mix(ids.view(np.uint64) ^ (ths.astype(np.int64).view(np.uint64) << np.uint64(17))) % np.uint64(dests)).astype(np.int64)
+    order = np.lexsort([doc, home[doc]])
+    doc, values = doc[order], values[order]
+    rows: list[list] = [[] for _ in range(5)]
+    cuts = np.searchsorted(home[doc], np.arange(dests + 1))
+    for k in range(dests):
+        d, v = doc[cuts[k] : cuts[k + 1]], values[cuts[k] : cuts[k + 1]]
+        if len(d):
+            at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+            sizes = np.diff(np.r_[at, len(d)]).astype("<u4")
+            for col, x in zip(rows, (k, _buffer(ids[d[at]]), _buffer(ths[d[at]]), _buffer(sizes), _buffer(v)), strict=True):
+                col.append(x)
+    return pa.Table.from_arrays([pa.array(r, t.type) for r, t in zip(rows, PACKED_TYPES, strict=True)], schema=PACKED_TYPES)
+
+
+def _answer_repeated(dests: int):
     """For a bucket: each document's windows that occur in two documents or more."""
-    hi, _, doc, _, ids, ths = _gather(table_)
-    order, _, low, high = _groups([hi], ids[doc])
-    many = low != high
-    out = _blobs(ids, ths, doc[order][many], hi[order][many], ["id", "th", "found"])
-    return pa.Table.from_batches([out] if out is not None else [], pa.schema([("id", pa.int64()), ("th", pa.int32()), ("found", pa.binary())]))
 
+    def run(table_: pa.Table) -> pa.Table:
+        hi, _, doc, _, ids, ths = _gather(table_)
+        order, _, low, high = _groups([hi], ids[doc])
+        many = low != high
+        return _address(dests, ids, ths, doc[order][many], hi[order][many])
+
+    return run
 
-def _answer_later(table_: pa.Table) -> pa.Table:
+
+def _answer_later(dests: int):
     """For a bucket: each document's places of windows that a document with a smaller id has too."""
-    hi, lo, doc, pos, ids, ths = _gather(table_)
-    order, _, low, _ = _groups([hi, lo], ids[doc])
-    later = ids[doc][order] > low
-    out = _blobs(ids, ths, doc[order][later], pos[order][later], ["id", "th", "found"])
-    return pa.Table.from_batches([out] if out is not None else [], pa.schema([("id", pa.int64()), ("th", pa.int32()), ("found", pa.binary())]))
+
+    def run(table_: pa.Table) -> pa.Table:
+        hi, lo, doc, pos, ids, ths = _gather(table_)
+        order, _, low, _ = _groups([hi, lo], ids[doc])
+        later = ids[doc][order] > low
+        return _address(dests, ids, ths, doc[order][later], pos[order][later])
+
+    return run
+
+
+def _unpack(width: int):
+    """For a destination: one row for each document, with all that the buckets answered it (values of width bytes)."""
+
+    def run(table_: pa.Table) -> pa.Table:
+        told: dict[tuple[int, int], list[bytes]] = {}
+        for r in table_.select(["ids", "ths", "sizes", "vals"]).to_pylist():
+            ends = np.cumsum(np.frombuffer(r["sizes"], "<u4").astype(np.int64)) * width
+            a = 0
+            for i, t, b in zip(np.frombuffer(r["ids"], "<i8").tolist(), np.frombuffer(r["ths"], "<i4").tolist(), ends.tolist(), strict=True):
+                told.setdefault((i, t), []).append(r["vals"][a:b])
+                a = b
+        cols = [pa.array([k[0] for k in told], pa.int64()), pa.array([k[1] for k in told], pa.int32()), pa.array([b"".join(v) for v in told.values()], pa.binary())]
+        return pa.Table.from_arrays(cols, names=["id", "th", "found"])
+
+    return run
 
 
 def _member(doc: np.ndarray, h: np.ndarray, own: list[list[bytes]]) -> np.ndarray:
@@ -220,11 +264,15 @@ def _next_level(short: int, long: int, sampled: bool, last: bool, buckets: int):
     return run
 
 
-def _settle(both: DataFrame, answer) -> DataFrame:
-    """(id, th, found): what was found in the batches, and what the buckets answer, as one list a document."""
+def _settle(both: DataFrame, answer, width: int) -> DataFrame:
+    """(id, th, found): what was found in the batches, and what the buckets answer, as one list a document.
+
+    Buckets answer in one row for each destination, not for each document, so rows don't multiply with partitions.
+    """
     asked = both.where("bucket IS NOT NULL").select("bucket", "hi", "lo", "doc", "pos", "ids", "ths")
     found = both.where("id IS NOT NULL").select("id", "th", "found")
-    told = asked.groupBy("bucket").applyInArrow(answer, FOUND)
+    told = asked.groupBy("bucket").applyInArrow(answer(partitions(both.sparkSession)), PACKED)
+    told = told.groupBy("dest").applyInArrow(_unpack(width), FOUND)
     return found.union(told).groupBy("id", "th").agg(F.collect_list("found").alias("found"))
 
 
@@ -242,12 +290,12 @@ def repeated(rows: DataFrame, window: int) -> DataFrame:
     short = ladder[0]
     if len(ladder) == 1:
         short, ladder = max(1, window // 2 + 1), [max(1, window // 2 + 1), window]
-    out = _settle(rows.select("id", "th", "text").mapInArrow(_first_level(short, ladder[1], buckets), BOTH), _answer_repeated)
+    out = _settle(rows.select("id", "th", "text").mapInArrow(_first_level(short, ladder[1], buckets), BOTH), _answer_repeated, 8)
     for i, long in enumerate(ladder[1:]):
         last = long == window
         there = rows.select("id", "th", "text").join(out, ["id", "th"]).select("id", "th", "text", "found")
         asked = there.mapInArrow(_next_level(ladder[i], long, i == 0, last, buckets), BOTH)
-        out = _settle(asked, _answer_later if last else _answer_repeated)
+        out = _settle(asked, _answer_later, 4) if last else _settle(asked, _answer_repeated, 8)
     return out
 
 
