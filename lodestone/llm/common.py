@@ -63,6 +63,8 @@ _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(int(_R), -1, 2**64))
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Marks every ASCII byte but letters and digits: words are then what punctuation leaves.
+NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -87,8 +89,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z and the capitals U+00C0-U+00DE as small letters."""
+    out = data.copy()
+    out[(data >= 65) & (data <= 90)] += 32
+    low = (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
+    low[1:] &= data[:-1] == 0xC3
+    low[:1] = False
+    out[low] += 32
+    return out
+
+
 class Words:
-    """The words of some texts: runs of bytes other than space and 0x09-0x0D.
+    """The words of some texts: runs of bytes that gap doesn't mark, by default other than space and 0x09-0x0D.
 
     starts, ends: byte places in data; doc: index of the text; h: 64-bit hash of the word's bytes;
     first: index of each text's first word (one longer than the texts).
@@ -96,12 +109,12 @@ class Words:
 
     __slots__ = ("data", "doc", "ends", "first", "h", "starts")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _IS_SPACE):
         n = len(data)
         self.data = data
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets] = True
-        word = ~_IS_SPACE[data]
+        word = ~gap[data]
         before = np.empty(n, dtype=bool)
         before[:1] = False
         before[1:] = word[:-1]

@@ -8,7 +8,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import chunks, id_key, table, text_key
+from lodestone.llm.common import chunks, fold, id_key, table, text_key
 
 ORDER = 3
 #: The training sample: at most so many documents of a language, and of these as many as fit into so many bytes.
@@ -20,17 +20,6 @@ LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 
 
-def fold(data: np.ndarray) -> np.ndarray:
-    """Bytes with A-Z and the capitals U+00C0-U+00DE as small letters."""
-    out = data.copy()
-    out[(data >= 65) & (data <= 90)] += 32
-    low = (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
-    low[1:] &= data[:-1] == 0xC3
-    low[:1] = False
-    out[low] += 32
-    return out
-
-
 def _context(data: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
     """For each byte the order bytes before it in its text as one number; a text is taken to follow spaces."""
     out = np.zeros(len(data), np.int64)

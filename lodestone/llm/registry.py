@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from lodestone.llm.decontaminate import op10_benchmark_decontamination
 from lodestone.llm.langid import op7_language_id
 from lodestone.llm.packing import op6_best_fit_packing
 from lodestone.llm.simhash import op1_simhash_near_dedup
@@ -14,6 +16,8 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
     "op9_token_counts": op9_token_counts,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: DuckDB has no seeded XXH64 and no component closure over Hamming balls; op1 is tested against brute force.

@@ -307,9 +307,10 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     text = F.col(text_col).cast("string")
-    return docs.select(id_key(id_col).alias("id"), F.hash(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if carry else []
+    return docs.select(id_key(id_col).alias("id"), F.hash(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"), *row)
 
 
 def _finish(window: int, with_text: bool):
@@ -327,18 +328,21 @@ def _finish(window: int, with_text: bool):
                 out[1].append(n - len(keep))
                 out[2].append(hashlib.sha256(joined).hexdigest())
                 out[3].append((text if n == len(keep) else joined.decode("utf-8", "replace")) if with_text else None)
-            cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())]
-            yield pa.record_batch([b.column(0), b.column(3), *cols], names=["id", "th", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            if with_text:
+                yield pa.record_batch([*b.columns[4:], *(pa.array(x, t) for x, t in zip((out[0], out[1], out[3]), (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["row", "n_words", "n_removed", "kept_text"])
+                continue
+            cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
+            yield pa.record_batch([b.column(0), b.column(3), *cols], names=["id", "th", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_text: bool = False) -> DataFrame:
-    """(id, th, n_words, n_removed, kept_sha256, kept_text) for every row of docs.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
+    """(id, th, n_words, n_removed, kept_sha256) for every row of docs.
 
     A word goes if a window of `window` consecutive words that covers it also starts, with the same words, in a
-    document with a smaller id; words are runs of bytes other than space and 0x09-0x0D. kept_text is the text itself
-    where nothing goes, else the kept words joined by one space (null unless with_text).
+    document with a smaller id; words are runs of bytes other than space and 0x09-0x0D. The digest is of the kept
+    words joined by one space.
 
     Null text: no words, the digest of nothing. A null id counts as larger than all others: its windows go where any
     other id has them. Rows that share an id never remove from each other, and repeated rows get the same result.
@@ -346,10 +350,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = _keyed(docs, id_col, text_col)
     # both uses of the text below join on (id, th) after the same exchange, which Spark runs once
-    marks = repeated(rows, window)
-    joined = rows.join(marks, ["id", "th"], "left").select("id", "text", "found", "th")
-    schema = "id long, th int, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return joined.mapInArrow(_finish(window, with_text), schema).withColumn("id", F.expr("nullif(id, 9223372036854775807L)"))
+    joined = rows.join(repeated(rows, window), ["id", "th"], "left").select("id", "text", "found", "th")
+    out = joined.mapInArrow(_finish(window, False), "id long, th int, n_words long, n_removed long, kept_sha256 string")
+    return out.withColumn("id", F.expr("nullif(id, 9223372036854775807L)"))
+
+
+def substring_dedup_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
+    """docs with what substring_dedup removes taken out of the text: (row, n_words, n_removed, kept_text), where row
+    has the other columns, and kept_text is the text as it was where nothing goes, else the kept words joined by one
+    space. The same rules hold."""
+    rows = _keyed(docs, id_col, text_col, carry=True)
+    marks = repeated(rows.select("id", "th", "text"), window)
+    joined = rows.join(marks, ["id", "th"], "left").select("id", "text", "found", "th", "row")
+    kind = joined.schema["row"].dataType.simpleString()
+    return joined.mapInArrow(_finish(window, True), f"row {kind}, n_words long, n_removed long, kept_text string")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

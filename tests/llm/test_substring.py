@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from lodestone.llm.substring import levels, substring_dedup
+from lodestone.llm.substring import levels, substring_dedup, substring_dedup_text
 
 
 def brute(rows, w):
@@ -45,10 +45,12 @@ def texts(rng):
 def test_against_brute_force(spark, window):
     rows = texts(random.Random(window))
     docs = spark.createDataFrame([(d, t, 1, "c") for d, t in rows], "doc_id long, text string, th int, found string").repartition(3)
-    got = substring_dedup(docs, window=window, with_text=True).collect()
+    got = substring_dedup(docs, window=window).collect()
     assert order([(r.id, r.n_words, r.n_removed, r.kept_sha256) for r in got]) == order(brute(rows, window))
-    for r in got:
-        assert hashlib.sha256(b" ".join(r.kept_text.encode().split()) if r.kept_text else b"").hexdigest() == r.kept_sha256
+    texts_ = substring_dedup_text(docs, window=window).collect()
+    assert texts_[0].row.asDict().keys() == {"doc_id", "th", "found"}
+    digest = lambda t: hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest()
+    assert order([(r.row.doc_id, r.n_words, r.n_removed, digest(r.kept_text)) for r in texts_]) == order(brute(rows, window))
     assert substring_dedup(docs.limit(0)).count() == 0
 
 
