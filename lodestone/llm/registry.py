@@ -9,10 +9,12 @@ from lodestone.llm.packing import op6_best_fit_packing
 from lodestone.llm.simhash import op1_simhash_near_dedup
 from lodestone.llm.substring import op4_substring_dedup
 from lodestone.llm.tokencount import op9_token_counts
+from lodestone.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
     "op9_token_counts": op9_token_counts,
