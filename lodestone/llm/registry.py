@@ -7,6 +7,7 @@ from lodestone.llm.decontaminate import op10_benchmark_decontamination
 from lodestone.llm.hamming import ORACLE as OP3_SQL
 from lodestone.llm.hamming import op3_exact_top_k
 from lodestone.llm.langid import op7_language_id
+from lodestone.llm.licenses import op8_license_scan
 from lodestone.llm.packing import op6_best_fit_packing
 from lodestone.llm.simhash import op1_simhash_near_dedup
 from lodestone.llm.substring import op4_substring_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
+    "op8_license_scan": op8_license_scan,
     "op9_token_counts": op9_token_counts,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "pipeline": corpus_pipeline.run,
