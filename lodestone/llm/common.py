@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Stands for a null id inside an operator: later than every real id. Results carry the null again.
 NULL_ID = 2**63 - 1
 #: Bytes of text handled at once by the vectorised code; a longer single text is handled alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -8,8 +8,8 @@ import re
 import numpy as np
 import regex
 
-#: Pieces kept per worker (about 250 MB), and the longest piece kept; neither changes a result.
-CACHE_PIECES, CACHE_CHARS = 600_000, 48
+#: Pieces kept per worker (about 130 MB), and the longest piece kept; neither changes a result.
+CACHE_PIECES, CACHE_CHARS = 300_000, 48
 #: A single space between two other characters: byte-level pre-tokenisation never joins or looks across it.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 ODD = re.compile(r"\s |^ |\s\Z")
