@@ -9,6 +9,7 @@ from lodestone.llm.hamming import op3_exact_top_k
 from lodestone.llm.langid import op7_language_id
 from lodestone.llm.licenses import op8_license_scan
 from lodestone.llm.packing import op6_best_fit_packing
+from lodestone.llm.pages import op2_html_extraction
 from lodestone.llm.simhash import op1_simhash_near_dedup
 from lodestone.llm.substring import op4_substring_dedup
 from lodestone.llm.tokencount import op9_token_counts
@@ -16,6 +17,7 @@ from lodestone.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_html_extraction": op2_html_extraction,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
