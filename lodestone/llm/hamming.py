@@ -56,8 +56,33 @@ def _value(seg: tuple[int, int, int], prefix: str) -> Column:
     return F.shiftrightunsigned(f"{prefix}{k}", shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def _probe(ball: Column, seg: int, value: Column) -> Column:
-    return F.transform(ball, lambda x: F.struct(F.lit(seg).alias("seg"), value.bitwiseXOR(x).alias("val")))
+#: Probes that a worker makes at once.
+PROBES = 1 << 17
+
+
+def _probes(segs: list[tuple[int, int, int]], r: int, words: int):
+    """For rows (code words, bound): the values at exactly r bits from the code's in each segment that the bound still
+    needs at radius r, as rows (code words, bound, seg, val)."""
+    m = len(segs)
+    masks = {w: np.array([sum(1 << b for b in c) for c in combinations(range(w), r)], np.int64) for w in {s[2] for s in segs}}
+    names = [*(f"q{i}" for i in range(words)), "bound", "seg", "val"]
+
+    def run(batches):
+        for b in batches:
+            code = [np.asarray(b.column(i)).astype(np.int64) for i in range(words)]
+            bound = np.asarray(b.column(words))
+            for i, (k, shift, width) in enumerate(segs):
+                ball = masks[width]
+                asks = np.flatnonzero(bound - m * r + 1 > i) if len(ball) else np.zeros(0, np.int64)
+                step = max(1, PROBES // max(1, len(ball)))
+                for a in range(0, len(asks), step):
+                    part = asks[a : a + step]
+                    own = ((code[k][part].view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                    val = (own[:, None] ^ ball[None, :]).reshape(-1)
+                    each = np.repeat(part, len(ball))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[each]) for c in code), pa.array(bound[each]), pa.array(np.full(len(each), i, np.int32)), pa.array(val)], names=names)
+
+    return run
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int, bits: int, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -94,12 +119,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, bits: int, id_col: str =
     done_ = None
     for r in range(max(w for _, _, w in segs) + 1):
         need = F.col("bound") - m * r + 1  # segments that a query must probe at radius r
-        probes = []
-        for i, (s, (_, _, w)) in enumerate(zip(segs, segs, strict=True)):
-            masks = [sum(1 << b for b in c) for c in combinations(range(w), r)]
-            ball = F.array(*[F.lit(x).cast("long") for x in masks]) if masks else F.array().cast("array<long>")
-            probes.append(F.when(need > i, _probe(ball, i, _value(s, "q"))).otherwise(F.array().cast("array<struct<seg:int,val:long>>")))
-        wave = open_.select(*q, "bound", F.explode(F.concat(*probes)).alias("e")).select(*q, "bound", "e.seg", "e.val")
+        wave = open_.select(*q, "bound").mapInArrow(_probes(segs, r, n), "".join(f"{x} long, " for x in q) + "bound int, seg int, val long")
         met = wave.join(index, ["seg", "val"]).where(distance <= F.col("bound")).select(*q, *cols, "least", "size", distance.cast("int").alias("distance"))
         both = found.join(open_.select(*q), q, "left_semi").union(met).distinct()
         order = Window.partitionBy(*q).orderBy("distance", "least")
