@@ -1,0 +1,45 @@
+"""The songbook's text lines (S11): sections, anchors, titles, artists and transliterations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.functions import rules
+from lodestone.functions.text import anchor, collapse
+from lodestone.operators.ordered import carry_forward, keep_first, look_ahead
+
+#: Section words at the start of a line, and lines that say nothing.
+SECTIONS = {"ANIME": "anime", "애니": "anime", "VOCALOID": "vocaloid", "보컬로이드": "vocaloid", "JPOP": "jpop", "J-POP": "jpop"}
+BOILERPLATE = "^\\s*$|^\\s*-?\\s*[0-9]+\\s*-?\\s*$|(?i)^\\s*(page|tj ?media|www\\.)"
+GAP = " {4,}"
+
+
+def parse(lines: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., line_no, tj, title, artist, title_ko, artist_ko, section) of each anchor line of lines (by.., line_no,
+    line); by tells books apart, so books are read side by side.
+
+    A line with a catalogue number anchors a record: what stands before it, cut at gaps of four spaces, ends with the
+    title; what stands after it begins with the artist. Up to two Hangul lines of the next six, before another anchor,
+    give the transliterations. The first record of a number counts.
+    """
+    section = F.lit(None).cast("string")
+    for word, name in SECTIONS.items():
+        section = F.when(F.col("line").startswith(word) & F.col("line").rlike(f"^{word}(  |$)"), name).otherwise(section)
+    rows = carry_forward(lines, section, by, ["line_no"], "anime", "section").withColumn("tj", anchor(F.col("line")))
+    hangul = F.col("line").rlike(rules.HANGUL) & ~F.col("line").rlike(rules.KANA) & ~F.col("line").rlike(rules.HAN)
+    rows = look_ahead(rows, F.when(hangul & F.col("tj").isNull(), F.col("line")), F.col("tj").isNotNull() | F.col("line").rlike(BOILERPLATE), by, ["line_no"], 6, 2, "_ko")
+    found = rows.where(F.col("tj").isNotNull())
+    at = F.expr("length(line) - length(substring_index(line, tj, -1)) - length(tj)")
+    before, after = F.expr("substring(line, 1, _at)"), F.expr("substring(line, _at + length(tj) + 1)")
+    chunks = lambda c: F.filter(F.split(F.trim(c), GAP), lambda x: x != "")
+    found = found.withColumn("_at", at).withColumns({"_b": chunks(before), "_a": chunks(after)})
+    foreign = F.filter("_b", lambda x: ~x.rlike(rules.HANGUL) | x.rlike(rules.KANA) | x.rlike(rules.HAN))
+    ko = F.split(F.trim(F.coalesce(F.try_element_at("_ko", F.lit(1)), F.lit(""))), GAP)
+    out = found.select(
+        *by, "line_no", "tj", collapse(F.try_element_at(foreign, F.lit(-1))).alias("title"), collapse(F.try_element_at("_a", F.lit(1))).alias("artist"),
+        F.nullif(collapse(F.try_element_at(ko, F.lit(1))), F.lit("")).alias("title_ko"), F.nullif(collapse(F.try_element_at(ko, F.lit(2))), F.lit("")).alias("artist_ko"), "section",
+    )
+    return keep_first(out.where("title IS NOT NULL AND artist IS NOT NULL"), [*by, "tj"], ["line_no"])
+
+
