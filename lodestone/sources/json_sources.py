@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 RECORD = (
     "id string, source_url string, title_primary string, title_ko string, artist_primary string, artist_ko string, artist_aliases array<string>, "
@@ -17,7 +18,7 @@ ITEM = {"pro": "pro", "indexTitle": "title", "indexSong": "artist", "subTitle":
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of a JSON array, with seq in the array's order and the vendors' numbers as columns."""
     text = spark.read.text(path, wholetext=True)
-    each = text.select(F.posexplode(F.from_json("value", f"array<struct<{RECORD.replace(' string', ': string').replace(' array<', ': array<').replace(' struct<', ': struct<')}>>")).alias("seq", "r"))
+    each = text.select(F.posexplode(F.from_json("value", ArrayType(StructType.fromDDL(RECORD)))).alias("seq", "r"))
     return each.select(F.col("seq").cast("long").alias("seq"), "r.*", "r.karaoke_numbers.tj", "r.karaoke_numbers.ky", "r.karaoke_numbers.joysound").drop("karaoke_numbers")
 
 
