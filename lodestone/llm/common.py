@@ -54,6 +54,20 @@ def text_key(col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(col), F.lit("")))
 
 
+def smallest(rows: DataFrame, at: str, want: int) -> list:
+    """The want rows with the smallest hashes in column at (a long, about evenly spread), in that order.
+
+    Only rows below a hash that about four times as many should lie below are sorted, however many there are; if too
+    few lie there after all, all are.
+    """
+    share = 4 * want / max(1, rows.count())
+    if share < 1:
+        got = rows.where(F.col(at) < int(-(2**63) + 2**64 * share)).orderBy(at).limit(want).collect()
+        if len(got) == want:
+            return got
+    return rows.orderBy(at).limit(want).collect()
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # Words as arrays
 

@@ -155,9 +155,16 @@ def sample(docs: DataFrame, train, id_col: str, text_col: str, lang_col: str) ->
     """The bounded training sample: of each language the documents with the smallest hashes of their ids."""
     at = F.xxhash64(id_key(id_col), text_key(text_col))
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    first = Window.partitionBy("lang").orderBy("at", "id")
     small = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), at.alias("at"), F.octet_length(text_col).alias("n"))
-    picked = small.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_DOCS).orderBy("lang", "rank").collect()
+    counts = {r.lang: r.n for r in small.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # about four times as many as are wanted of each language are looked at, by hash; all of a rare language
+    least = F.lit(-(2**63)).cast("long")
+    for lang, n in counts.items():
+        share = 4 * SAMPLE_DOCS / n
+        least = F.when(F.col("lang") == lang, F.lit(2**63 - 1 if share >= 1 else int(-(2**63) + 2**64 * share)).cast("long")).otherwise(least)
+    first = Window.partitionBy("lang").orderBy("at", "id")
+    best = small.where(F.col("at") <= least).distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_DOCS)
+    picked = best.orderBy("lang", "rank").collect()
     ids, left = [], {}
     for r in picked:
         left[r.lang] = left.get(r.lang, SAMPLE_BYTES) - r.n
@@ -166,7 +173,7 @@ def sample(docs: DataFrame, train, id_col: str, text_col: str, lang_col: str) ->
     if not ids:
         return {}
     wanted = F.broadcast(docs.sparkSession.createDataFrame(sorted(set(ids)), "id long, at long"))
-    got = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), at.alias("at"), F.col(text_col).alias("text")).join(wanted, ["id", "at"])
+    got = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), at.alias("at"), F.col(text_col).alias("text")).join(wanted, ["id", "at"]).dropDuplicates(["id", "at"])
     out: dict[str, list[bytes]] = {}
     for r in got.orderBy("lang", "at").collect():
         out.setdefault(r.lang, []).append(r.text.encode())

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import id_key, table, text_key
+from lodestone.llm.common import id_key, smallest, stage, table, text_key
 from lodestone.llm.langid import remainder
 
 #: The bounded training sample: of each label the documents with the smallest hashes, of those up to so many characters.
@@ -256,9 +256,9 @@ def train(docs: DataFrame, labels: DataFrame, where) -> Model:
     toxic = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where(where & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
     rows = rows.withColumn("at", F.xxhash64(id_key("doc_id"), text_key("text")))
-    small = rows.select("doc_id", "at").join(toxic, "doc_id").dropDuplicates(["at"])
-    picks = [small.where(F.col("toxic") == k).orderBy("at").limit(SAMPLE_DOCS) for k in (1, 0)]
-    picked = docs.sparkSession.createDataFrame([(r.at, r.toxic) for p in picks for r in p.collect()], "at long, toxic int")
+    small = stage(rows.select("doc_id", "at").join(toxic, "doc_id").select("at", "toxic").distinct(), "toxicity-labels")
+    picks = [smallest(small.where(F.col("toxic") == k), "at", SAMPLE_DOCS) for k in (1, 0)]
+    picked = docs.sparkSession.createDataFrame([(r.at, r.toxic) for p in picks for r in p], "at long, toxic int")
     got = rows.join(F.broadcast(picked), "at").dropDuplicates(["at"]).orderBy("at").select("toxic", "text").collect()
     return fit([r.text for r in got if r.toxic == 1], [r.text for r in got if r.toxic != 1])
 
