@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 import regex
 
-#: Pieces kept per worker (about 130 MB), and the longest piece kept; neither changes a result.
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
+#: Pieces and words that a worker keeps in each of two generations (about 170 MB in all), and the longest kept; neither
+#: changes a result.
+CACHE_PIECES, CACHE_CHARS = 200_000, 48
 #: A single space between two other characters: byte-level pre-tokenisation never joins or looks across it.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 ODD = re.compile(r"\s |^ |\s\Z")
@@ -19,11 +21,11 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 PLAIN = re.compile("[\x00-\u024f\u2010-\u2027\u2030-\u205e]*")
 
 
-def _visible() -> dict[int, int]:
+def _visible() -> list[str]:
     """The byte-level alphabet: printable bytes stand for themselves, the n-th other byte for U+0100 + n."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in own]
-    return {b: 256 + n for n, b in enumerate(rest)}
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
 VISIBLE = _visible()
@@ -57,25 +59,33 @@ class Encoder:
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
             self.cuts, self.special = False, []
             self.library = lambda texts: [np.array(x, dtype="<u4").tobytes() for x in sp.encode(texts, num_threads=1)]
+        # what was used since the last change of generations, and before
         self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
-            tokens = self.tok.model.tokenize(word.encode().decode("latin-1").translate(VISIBLE))
-            got = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+            got = self.words_before.get(word)
+            if got is None:
+                tokens = self.tok.model.tokenize("".join([VISIBLE[b] for b in word.encode()]))
+                got = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
             if len(word) <= CACHE_CHARS:
                 if len(self.words) >= CACHE_PIECES:
-                    self.words.clear()
+                    self.words_before, self.words = self.words, {}
                 self.words[word] = got
         return got
 
     def _encode(self, piece: str) -> bytes:
         piece = piece[1:] if piece[:1] == "\x00" else " " + piece
-        if PLAIN.fullmatch(piece):
-            return b"".join([self._word(w) for w in SPLIT.findall(piece)])
-        return self.library([piece])[0]
+        if not PLAIN.fullmatch(piece):
+            return self.library([piece])[0]
+        word = piece.rstrip(".,;:!?")
+        if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):  # a word and what ends it: two matches of SPLIT at most
+            return self._word(word) + (self._word(piece[len(word) :]) if len(word) < len(piece) else b"")
+        return b"".join([self._word(w) for w in SPLIT.findall(piece)])
 
     def _pieces(self, text: str) -> list[str]:
         if ODD.search(text):
@@ -98,17 +108,23 @@ class Encoder:
         return out
 
     def _cached(self, text: str) -> bytes:
-        known = self.known
-        if len(known) >= CACHE_PIECES:
-            known.clear()
-        out = []
-        for p in self._pieces(text):
-            got = known.get(p)
-            if got is None:
-                got = self._encode(p)
-                if len(p) <= CACHE_CHARS:
-                    known[p] = got
-            out.append(got)
+        if len(self.known) >= CACHE_PIECES:
+            self.known_before, self.known = self.known, {}
+        known, pieces = self.known, self._pieces(text)
+        out = list(map(known.get, pieces))
+        if None in out:
+            before = self.known_before
+            for i, got in enumerate(out):
+                if got is None:
+                    p = pieces[i]
+                    got = known.get(p)  # it may have come a moment ago
+                    if got is None:
+                        got = before.get(p)
+                        if got is None:
+                            got = self._encode(p)
+                        if len(p) <= CACHE_CHARS:
+                            known[p] = got
+                    out[i] = got
         return b"".join(out)
 
 
