@@ -120,7 +120,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, bits: int, id_col: str =
     for r in range(max(w for _, _, w in segs) + 1):
         need = F.col("bound") - m * r + 1  # segments that a query must probe at radius r
         wave = open_.select(*q, "bound").mapInArrow(_probes(segs, r, n), "".join(f"{x} long, " for x in q) + "bound int, seg int, val long")
-        met = wave.join(index, ["seg", "val"]).where(distance <= F.col("bound")).select(*q, *cols, "least", "size", distance.cast("int").alias("distance"))
+        # the planner takes the probes for as few as the queries; the hint keeps it from sending them to every worker
+        met = wave.join(index.hint("shuffle_hash"), ["seg", "val"]).where(distance <= F.col("bound")).select(*q, *cols, "least", "size", distance.cast("int").alias("distance"))
         both = found.join(open_.select(*q), q, "left_semi").union(met).distinct()
         order = Window.partitionBy(*q).orderBy("distance", "least")
         best = both.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
