@@ -256,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, where) -> Model:
     toxic = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where(where & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
     rows = rows.withColumn("at", F.xxhash64(id_key("doc_id"), text_key("text")))
-    small = stage(rows.select("doc_id", "at").join(toxic, "doc_id").select("at", "toxic").distinct(), "toxicity-labels")
+    small = stage(rows.select("doc_id", "at").join(toxic.hint("merge"), "doc_id").select("at", "toxic").distinct(), "toxicity-labels")
     picks = [smallest(small.where(F.col("toxic") == k), "at", SAMPLE_DOCS) for k in (1, 0)]
     picked = docs.sparkSession.createDataFrame([(r.at, r.toxic) for p in picks for r in p], "at long, toxic int")
     got = rows.join(F.broadcast(picked), "at").dropDuplicates(["at"]).orderBy("at").select("toxic", "text").collect()
