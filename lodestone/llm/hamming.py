@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import stage, table
 
-#: Segments have about log2 of the number of codes bits, within these bounds.
-NARROW, WIDE = 8, 20
+#: Segments have about log2 of the number of codes bits, less SPARE, within these bounds: a value then holds a few codes,
+#: which costs less to look through than the probes of wider segments' larger balls.
+SPARE, NARROW, WIDE = 2, 8, 20
 
 
 def binary_codes(rows: DataFrame, bits: int, id_col: str, vec_col: str) -> DataFrame:
@@ -38,7 +39,7 @@ def binary_codes(rows: DataFrame, bits: int, id_col: str, vec_col: str) -> DataF
 
 def segments(bits: int, codes: int) -> list[tuple[int, int, int]]:
     """(code column, shift, width) of each segment; none crosses a column."""
-    width = min(WIDE, max(NARROW, round(log2(max(codes, 2)))))
+    width = min(WIDE, max(NARROW, round(log2(max(codes, 2))) - SPARE))
     out = []
     for k in range(-(-bits // 64)):
         here = min(64, bits - 64 * k)
