@@ -32,22 +32,30 @@ def keep_first(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> Dat
 def interleave(rows: DataFrame, bucket: Column, last: Column, order: Sequence[str]) -> DataFrame:
     """Rows with (turn, side): buckets take turns, rows for which last holds come after all others. Sorting by
     (is_last, turn, side) gives the order."""
-    w = Window.partitionBy("is_last", "side").orderBy(*order)
-    return rows.withColumns({"is_last": last, "side": bucket}).withColumn("turn", F.row_number().over(w))
+    sides = rows.withColumns({"is_last": last, "side": bucket})
+    out = numbered(sides, order, "turn", ["is_last", "side"])
+    return out.select(*sides.columns, (F.col("turn") + 1).cast("int").alias("turn"))
 
 
-def numbered(rows: DataFrame, order: Sequence[str], out: str = "number") -> DataFrame:
-    """A number from 0 in the order of the columns, without one task for all rows: rows are dealt by range, numbered
-    within each range, and shifted by the ranges' sizes."""
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+def numbered(rows: DataFrame, order: Sequence[str], out: str = "number", by: Sequence[str] = ()) -> DataFrame:
+    """A number from 0 in the order of the columns, for each value of by anew, without one task for all rows: rows are
+    dealt by range, numbered within each range, and shifted by the ranges' sizes."""
+    ranged = rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
     from lodestone.operators.staging import stage
 
     ranged = stage(ranged, "numbered")
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b._part") < F.col("a._part"), "left")
-    before = before.groupBy("a._part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("_base"))
-    w = Window.partitionBy("_part").orderBy(*order)
-    out_rows = ranged.join(F.broadcast(before), "_part").withColumn(out, F.row_number().over(w) - 1 + F.col("_base"))
+    sizes = ranged.groupBy("_part", *by).agg(F.count("*").alias("n"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    earlier = F.col("b._part") < F.col("a._part")
+    for s in same:
+        earlier &= s
+    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), earlier, "left")
+    before = before.groupBy("a._part", *[f"a.{c}" for c in by]).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("_base"))
+    w = Window.partitionBy("_part", *by).orderBy(*order)
+    here = F.col("a._part") == F.col("b._part")
+    for s in same:
+        here &= s
+    out_rows = ranged.alias("a").join(F.broadcast(before).alias("b"), here).select("a.*", "b._base").withColumn(out, F.row_number().over(w) - 1 + F.col("_base"))
     return out_rows.drop("_part", "_base")
 
 

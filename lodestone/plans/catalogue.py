@@ -465,6 +465,12 @@ def nearest_within_tol(spark, at):
 
 DECISIONS = "SELECT doc_id AS id, concat(substr(text, 1, 10), CASE WHEN quality = 0 THEN 'x' ELSE '' END) AS title, concat('ko', doc_id) AS ko, CASE WHEN toxic = 1 THEN 'low' ELSE 'high' END AS conf FROM documents JOIN labels USING (doc_id)"
 TITLES = "SELECT doc_id AS id, substr(text, 1, 10) AS title, CAST(NULL AS VARCHAR(10)) AS ko, CASE WHEN doc_id % 5 = 0 THEN 'manual' END AS src, CAST(NULL AS VARCHAR(10)) AS conf FROM documents"
+@query("SELECT event_id, event_type = 'error' AS is_last, event_type = 'click' AS side, CAST(row_number() OVER (PARTITION BY event_type = 'error', event_type = 'click' ORDER BY event_id) AS INTEGER) AS turn FROM events")
+def interleave_events(spark, at):
+    rows = t(spark, at, "events").select("event_id", "event_type")
+    return ordered.interleave(rows, F.col("event_type") == "click", F.col("event_type") == "error", ["event_id"]).select("event_id", "is_last", "side", "turn")
+
+
 
 
 def _sql(spark, at, sql, *tables):

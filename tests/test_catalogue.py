@@ -228,3 +228,16 @@ def test_stream_of_files(spark, tmp_path):
     for _ in range(2):
         arrivals.append_each(arrivals.arrivals(spark, src, "artist string"), lambda b: b.select(text.identity_key(F.col("artist")).alias("k")), out, str(tmp_path / "cp")).awaitTermination()
     assert [r.k for r in spark.read.parquet(out).collect()] == ["ab"]
+
+
+def test_interleave_numbers_a_bucket_in_several_tasks(spark):
+    small = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(small)
+    spark.conf.set(small, "false")  # else the few rows here are put into one task afterwards
+    rows = spark.range(20000).select("id", F.when(F.col("id") % 50 != 0, F.col("id") % 2 == 0).alias("side_"))
+    out = ordered.interleave(rows, F.col("side_"), F.lit(False), ["id"]).withColumn("task", F.spark_partition_id()).collect()
+    spark.conf.set(small, before)
+    for side in (True, False, None):
+        own = sorted((r.id, r.turn) for r in out if r.side is side)
+        assert [n for _, n in own] == list(range(1, len(own) + 1))
+    assert len(own) == 400 and len({r.task for r in out if r.side is True}) > 1
