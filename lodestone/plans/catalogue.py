@@ -344,6 +344,15 @@ def part_index(spark, at):
 def _rounded(hits: DataFrame) -> DataFrame:
     return hits.select("id", F.round("score", 6).alias("score"))
 
+@query(f"""
+WITH e AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {CATS} AS c FROM events), g AS (SELECT user_id, day, list(DISTINCT c) AS l FROM e GROUP BY ALL)
+SELECT user_id, day, list_aggregate(list_sort(CASE WHEN list_contains(l, 'vocaloid') THEN list_filter(l, lambda x: x NOT IN ('anime', 'jpop')) WHEN list_contains(l, 'anime') THEN list_filter(l, lambda x: x <> 'jpop') ELSE l END), 'string_agg', ';') AS categories FROM g
+""")
+def category_by_day(spark, at):
+    rows = t(spark, at, "events").select("user_id", F.col("ts").cast("date").cast("string").alias("day"), F.expr(CATS).alias("c"))
+    return rows.groupBy("user_id", "day").agg(F.array_join(text.exclusive(F.collect_set("c")), ";").alias("categories"))
+
+
 
 @query(bm25("['steel', 'small']", "", ""))
 def search_exact(spark, at):
