@@ -6,17 +6,38 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written by this process, for clear().
+_staged: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         at = "/tmp/checkpoints/lodestone"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet and read back: what is lost with an executor is read again, not computed again."""
-    at = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back.
+
+    An executor lost later costs no recomputation of what is written, and what is read is the same on every retry.
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    _staged.append(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes what this process has staged; call it when all results that read from it are written."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(conf).delete(path, True)
