@@ -1,8 +1,9 @@
-"""Shared pieces: staging in the cluster's shared folder, row keys, vectorised word hashing."""
+"""Shared pieces: memory of workers, row keys, vectorised word hashing."""
 
 from __future__ import annotations
 
-import uuid
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,30 +11,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.staging import shared_dir, stage
+
+__all__ = ["shared_dir", "stage"]
+
 #: Stands for a null id inside an operator: later than every real id. Results carry the null again.
 NULL_ID = 2**63 - 1
 #: Bytes of text handled at once by the vectorised code; a longer single text is handled alone.
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "/tmp/checkpoints/lodestone"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+def give_back() -> None:
+    """Returns what this process has freed to the system: workers live on from stage to stage."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back.
+def freed(run):
+    """run, a function of batches for mapInArrow, giving memory back when a task ends."""
 
-    An executor lost later costs no recomputation of what is written, and what is read is the same on every retry.
-    """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,24 +1,23 @@
-"""Exact library token ids at the speed of a word cache."""
+"""Exact library token ids, the bulk of them through a faster engine over the same vocabulary."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import struct
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
-import regex
+import pyarrow as pa
 
-#: Pieces and words that a worker keeps in each of two generations (about 170 MB in all), and the longest kept; neither
-#: changes a result.
-CACHE_PIECES, CACHE_CHARS = 200_000, 48
-#: A single space between two other characters: byte-level pre-tokenisation never joins or looks across it.
-CUT = re.compile(r"(?<=\S) (?=\S)")
-ODD = re.compile(r"\s |^ |\s\Z")
-#: The pre-tokenisation pattern that byte-level BPE files with use_regex=True stand for, and characters on whose
-#: classes all engines agree; other pieces go to the library as they are.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-PLAIN = re.compile("[\x00-\u024f\u2010-\u2027\u2030-\u205e]*")
+#: The pre-tokenisation pattern that byte-level BPE files with use_regex=True stand for, and the characters on whose
+#: classes all regex engines agree; texts with any other go to the library.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = re.compile("[\x00-ɏ‐-‧‰-⁞]*")
+#: Longer runs of white space are the library's too: the engine's pattern goes over a run once for each of its places.
+SPACES = 256
+LONG_SPACE = re.compile(rf"\s{{{SPACES}}}")
 
 
 def _visible() -> list[str]:
@@ -28,104 +27,88 @@ def _visible() -> list[str]:
     return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
-VISIBLE = _visible()
+def _ranks(path: str) -> dict[bytes, int] | None:
+    """A byte-level BPE file's tokens as bytes, by id, where merging by least id is merging by the file's order; None for
+    any other file. That holds if the n-th merge made the n-th token after the 256 bytes, and nothing else is set."""
+    with open(path, "rb") as f:
+        spec = json.load(f)
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex") is True and split.get("add_prefix_space") is False and spec.get("normalizer") is None
+    odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if not plain or odd or model.get("type") != "BPE":
+        return None
+    vocab, made = model["vocab"], ("".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"])
+    if any(vocab.get(t) != 256 + i for i, t in enumerate(made)) or len(vocab) != 256 + len(model["merges"]):
+        return None
+    byte = {c: b for b, c in enumerate(_visible())}
+    return {bytes([byte[c] for c in token]): i for token, i in vocab.items()}
 
 
 class Encoder:
     """ids(texts): for each text the library's ids as little-endian unsigned 32-bit bytes.
 
-    For a byte-level BPE file without a normalizer a text is cut at single spaces, each piece (with its leading
-    space) is encoded by the library's model once and remembered, and so are its words. A text that holds one of the added tokens' strings, or a
-    character on whose class regex engines disagree, goes to the library whole, as does everything for any other
-    kind of file.
+    For a byte-level BPE file without a normalizer a text is encoded by the engine that merges by least id, which gives
+    the same ids several times faster and remembers nothing. A text that holds one of the added tokens' strings, a
+    character on whose class regex engines disagree, or a very long run of white space goes to the library whole, as
+    does everything for any other kind of file.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path.endswith(".json"):
-            from tokenizers import Tokenizer
-
-            self.tok = Tokenizer.from_file(path)
-            self.tok.no_truncation()
-            self.tok.no_padding()
-            spec = str(self.tok.pre_tokenizer)
-            self.cuts = self.tok.normalizer is None and spec.startswith("ByteLevel(") and "use_regex=True" in spec and "add_prefix_space=False" in spec
-            self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()] + ["᠎"]
-            many = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-            self.library = lambda texts: [np.array(e.ids, dtype="<u4").tobytes() for e in many(texts, add_special_tokens=False)]
-        else:
-            import sentencepiece
-
-            sp = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.cuts, self.special = False, []
-            self.library = lambda texts: [np.array(x, dtype="<u4").tobytes() for x in sp.encode(texts, num_threads=1)]
-        # what was used since the last change of generations, and before
-        self.known: dict[str, bytes] = {}
-        self.known_before: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.words_before: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            got = self.words_before.get(word)
-            if got is None:
-                tokens = self.tok.model.tokenize("".join([VISIBLE[b] for b in word.encode()]))
-                got = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-            if len(word) <= CACHE_CHARS:
-                if len(self.words) >= CACHE_PIECES:
-                    self.words_before, self.words = self.words, {}
-                self.words[word] = got
-        return got
-
-    def _encode(self, piece: str) -> bytes:
-        piece = piece[1:] if piece[:1] == "\x00" else " " + piece
-        if not PLAIN.fullmatch(piece):
-            return self.library([piece])[0]
-        word = piece.rstrip(".,;:!?")
-        if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):  # a word and what ends it: two matches of SPLIT at most
-            return self._word(word) + (self._word(piece[len(word) :]) if len(word) < len(piece) else b"")
-        return b"".join([self._word(w) for w in SPLIT.findall(piece)])
-
-    def _pieces(self, text: str) -> list[str]:
-        if ODD.search(text):
-            parts = CUT.split(text)
-        else:
-            parts = text.split(" ")
-        # the first piece has no leading space; the others are looked up without theirs, so it gets a mark
-        parts[0] = "\x00" + parts[0]
-        return parts
+        self.path, self.engine, self.special, self._library = path, None, re.compile(r"(?!)"), None
+        if not path.endswith(".json"):
+            return
+        with open(path, "rb") as f:
+            added = [t["content"] for t in json.load(f).get("added_tokens") or []]
+        if added:
+            self.special = re.compile("|".join(map(re.escape, added)))
+        if (ranks := _ranks(path)) is not None:
+            import tiktoken
+
+            self.engine = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        """What the library itself gives; it is loaded when a text first needs it."""
+        if self._library is None:
+            if self.path.endswith(".json"):
+                from tokenizers import Tokenizer
+
+                tok = Tokenizer.from_file(self.path)
+                tok.no_truncation()
+                tok.no_padding()
+                many = getattr(tok, "encode_batch_fast", tok.encode_batch)
+                self._library = lambda own: [np.array(e.ids, dtype="<u4").tobytes() for e in many(own, add_special_tokens=False)]
+            else:
+                import sentencepiece
+
+                sp = sentencepiece.SentencePieceProcessor(model_file=self.path)
+                self._library = lambda own: [np.array(x, dtype="<u4").tobytes() for x in sp.encode(own, num_threads=1)]
+        return self._library(texts)
+
+    def _easy(self, text: str) -> bool:
+        return (text.isascii() or PLAIN.fullmatch(text) is not None) and not self.special.search(text) and (len(text) < SPACES or not LONG_SPACE.search(text))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif not self.cuts or any(s in text for s in self.special) or "\x00" in text:
-                out.extend(self.library([text]))
-            else:
-                out.append(self._cached(text))
+        if self.engine is None:
+            return self.library([t or "" for t in texts])
+        encode = self.engine.encode_ordinary
+        out = [(array("I", encode(t)).tobytes() if self._easy(t) else None) if t else b"" for t in texts]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.library([texts[i] for i in rest]) if rest else (), strict=True):
+            out[i] = x
         return out
 
-    def _cached(self, text: str) -> bytes:
-        if len(self.known) >= CACHE_PIECES:
-            self.known_before, self.known = self.known, {}
-        known, pieces = self.known, self._pieces(text)
-        out = list(map(known.get, pieces))
-        if None in out:
-            before = self.known_before
-            for i, got in enumerate(out):
-                if got is None:
-                    p = pieces[i]
-                    got = known.get(p)  # it may have come a moment ago
-                    if got is None:
-                        got = before.get(p)
-                        if got is None:
-                            got = self._encode(p)
-                        if len(p) <= CACHE_CHARS:
-                            known[p] = got
-                    out[i] = got
-        return b"".join(out)
+    def counts(self, texts: list[str | None]) -> list[int]:
+        return [len(x) // 4 for x in self.ids(texts)]
+
+
+#: Rows whose texts and ids are in memory at once.
+ROWS = 256
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for a in range(0, batch.num_rows, ROWS):
+        yield batch.slice(a, ROWS)
 
 
 _encoders: dict[str, Encoder] = {}

@@ -8,7 +8,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import chunks, fold, id_key, table, text_key
+from lodestone.llm.common import chunks, fold, freed, id_key, table, text_key
 
 ORDER = 3
 #: The training sample: at most so many documents of a language, and of these as many as fit into so many bytes.
@@ -202,7 +202,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", prefix: str
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*b.schema.names, *names])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{names[0]}` string", f"`{names[1]}` double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(freed(run), schema)
 
 
 def remainder(id_col: str, n: int):

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stage, table
-from lodestone.llm.encoder import default_path, encoder
+from lodestone.llm.common import freed, stage, table
+from lodestone.llm.encoder import default_path, encoder, pieces
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: The scheme's accuracies to choose from: lengths above capacity / LARGE are packed by configurations, the others by
@@ -177,7 +177,8 @@ def _cut(path: str, capacity: int, separator: int):
         enc = encoder(path)
         for b in batches:
             cols: list[list] = [[] for _ in range(5)]
-            for doc, ids in zip(b.column(0).to_pylist(), enc.ids(b.column(1).to_pylist()), strict=True):
+            encoded = (x for part in pieces(b) for x in enc.ids(part.column(1).to_pylist()))
+            for doc, ids in zip(b.column(0).to_pylist(), encoded, strict=True):
                 ids += end
                 n, start, piece = len(ids) // 4, 0, 0
                 while start < n:
@@ -189,7 +190,7 @@ def _cut(path: str, capacity: int, separator: int):
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return run
+    return freed(run)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import NULL_ID, id_key, stage, table, text_key
+from lodestone.llm.common import NULL_ID, freed, id_key, stage, table, text_key
 from lodestone.llm.graph import components
 
 SEED = 42
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([b.column(0), b.column(1), pa.array(fp)], names=["id", "th", "fp"])
 
     cols = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(run, "id long, th long, fp long")
+    return cols.mapInArrow(freed(run), "id long, th long, fp long")
 
 
 def radii(segments: int, distance: int) -> list[int]:

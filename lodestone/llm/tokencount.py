@@ -11,8 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir, table
-from lodestone.llm.encoder import default_path, encoder
+from lodestone.llm.common import freed, shared_dir, table
+from lodestone.llm.encoder import default_path, encoder, pieces
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
 
@@ -42,10 +42,10 @@ def _counts(path: str, tokenizer: str):
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            n = [len(x) // 4 for x in enc.ids(b.column(1).to_pylist())]
+            n = [x for part in pieces(b) for x in enc.counts(part.column(1).to_pylist())]
             yield pa.record_batch([pa.array([tokenizer] * len(n), pa.string()), b.column(0), pa.array(np.array(n, dtype=np.int64))], names=["tokenizer", "digest", "n_tokens"])
 
-    return run
+    return freed(run)
 
 
 def token_counts(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import id_key, smallest, stage, table, text_key
+from lodestone.llm.common import freed, id_key, smallest, stage, table, text_key
 from lodestone.llm.langid import remainder
 
 #: The bounded training sample: of each label the documents with the smallest hashes, of those up to so many characters.
@@ -279,7 +279,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != place), pa.array(out)], names=[*names, "score"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col] + ["score double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(freed(run), schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
