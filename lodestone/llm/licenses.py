@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import NOT_WORD, Words, chunks, fold, grams, table
+from lodestone.llm.common import NOT_WORD, Words, chunks, fold, freed, grams, table
 
 #: Fingerprints: hashes of GRAM words, the least of each WINNOW in a row. Any GRAM + WINNOW - 1 words in common share one.
 GRAM, WINNOW = 3, 2
@@ -19,6 +21,8 @@ BAND = 12
 COVERAGE, LEAST = 0.75, 4
 #: The templates' words together, for the index to be broadcast.
 MOST_WORDS = 1_000_000
+#: Words to a cell by which overlapping places are looked up.
+CELL = 64
 
 # Notices by which public licences are applied, as published with them.
 TEMPLATES = {
@@ -95,12 +99,19 @@ def build_index(templates: dict[str, str]) -> Index:
     return Index(names, words, h[order], t[order], p[order])
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, int, int]:
+def align(template: np.ndarray, text: np.ndarray, diagonal: int, low: int = 0, high: int | None = None) -> tuple[int, int, int]:
     """(matched words, first, end): the best alignment of the template to a stretch of the text, word i of the template
-    to word i + diagonal give or take BAND; among those with most matches the one with the fewest text words."""
+    to word i + diagonal give or take BAND, within text[low:high]; among those with most matches the one with the
+    fewest text words, then the earliest."""
+    high = len(text) if high is None else high
+    size = len(template)
+    if low <= diagonal and diagonal + size <= high and (text[diagonal : diagonal + size] == template).all():
+        return size, diagonal, diagonal + size
     width = 2 * BAND + 1
-    zero = (0, 0, 0, 0)  # matches, minus the text words spanned, first, end
+    zero = (0, 0, 0)  # matches, first, end; of as many matches the later first leaves the shorter span
     row = [zero] * width
+    base = max(0, diagonal - BAND)
+    near = text[base : diagonal + size + BAND].tolist()
     for i, x in enumerate(template.tolist()):
         now = [zero] * width
         for k in range(width):
@@ -108,16 +119,35 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, i
             best = row[k + 1] if k + 1 < width else zero  # the template's word is missing
             if k and now[k - 1] > best:  # a word of the text is extra
                 best = now[k - 1]
-            if 0 <= j < len(text) and text[j] == x:
-                n, _, first, _ = row[k]
-                first = first if n else j
-                met = (n + 1, first - j, first, j + 1)
+            if low <= j < high and near[j - base] == x:
+                n, first, _ = row[k]
+                met = (n + 1, first if n else j, j + 1)
                 if met > best:
                     best = met
             now[k] = best
         row = now
-    n, _, first, end = max(row)
-    return n, first, end
+    return max(row, key=lambda f: (f[0], f[1] - f[2], -f[1]))
+
+
+def places(template: np.ndarray, text: np.ndarray, at: list[int], diagonal: list[int]) -> list[tuple[int, int, int]]:
+    """(matched words, first, end) of every place of the template that a fingerprint hit anchors.
+
+    Hits (text places in order, diagonals) are gone through from the left; a place that is found parts the text, and
+    what lies to either side of it is searched on, so places next to each other are all found. A hit is aligned once in
+    each part it is the first of, so work follows the hits."""
+    out, parts = [], [(0, len(text), 0, len(at))]
+    while parts:
+        low, high, i, j = parts.pop()
+        while i < j:
+            n, first, end = align(template, text, diagonal[i], low, high)
+            if n >= LEAST and n >= COVERAGE * len(template):
+                out.append((n, first, end))
+                if (k := bisect_right(at, first - GRAM, i, j)) > i:
+                    parts.append((low, first, i, k))
+                low, i = end, bisect_left(at, end, i, j)
+            else:
+                i += 1
+    return out
 
 
 def scan_words(w: Words, index: Index):
@@ -127,30 +157,29 @@ def scan_words(w: Words, index: Index):
     lo = np.searchsorted(index.hashes, g)
     hit = lo < len(index.hashes)
     hit[hit] = index.hashes[lo[hit]] == g[hit]
-    groups: dict[tuple[int, int, int], int] = {}
+    groups: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
     for p, a, h in zip(at[hit].tolist(), lo[hit].tolist(), g[hit], strict=True):
         doc = int(w.doc[p])
+        p -= int(w.first[doc])
         while a < len(index.hashes) and index.hashes[a] == h:
-            diagonal = p - int(index.place[a]) - int(w.first[doc])
-            key = doc, int(index.template[a]), diagonal // BAND
-            groups.setdefault(key, diagonal)
+            ats, diagonals = groups.setdefault((doc, int(index.template[a])), ([], []))
+            ats.append(p)
+            diagonals.append(p - int(index.place[a]))
             a += 1
-    found: dict[tuple[int, int, int], tuple] = {}
-    for (doc, t, _), diagonal in groups.items():
+    found = []
+    for (doc, t), (ats, diagonals) in groups.items():
         text = w.h[w.first[doc] : w.first[doc + 1]]
-        words = index.words[t]
-        n, first, end = align(words, text, diagonal)
-        if n >= LEAST and n >= COVERAGE * len(words):
-            key = doc, t, first
-            if key not in found or n > found[key][2]:
-                found[key] = doc, t, n, first, end
+        found += [(doc, t, *f) for f in places(index.words[t], text, ats, diagonals)]
     share = lambda f: f[2] / len(index.words[f[1]])
     kept: list[tuple] = []
-    for f in sorted(found.values(), key=lambda f: (f[0], -f[2], -share(f), f[3], f[1])):
+    near: dict[tuple[int, int], list[tuple]] = defaultdict(list)  # kept places of each text by the cells they touch
+    for f in sorted(found, key=lambda f: (f[0], -f[2], -share(f), f[3], f[1])):
         # f gives way where it overlaps what matches as many words or more, and no smaller share of its template
-        near = (k for k in reversed(kept) if k[0] == f[0])
-        if not any(f[3] < k[4] and k[3] < f[4] and share(k) >= share(f) for k in near):
+        cells = [(f[0], c) for c in range(f[3] // CELL, (f[4] - 1) // CELL + 1)]
+        if not any(f[3] < k[4] and k[3] < f[4] and share(k) >= share(f) for c in cells for k in near[c]):
             kept.append(f)
+            for c in cells:
+                near[c].append(f)
     return sorted(kept, key=lambda f: (f[0], f[3], f[1]))
 
 
@@ -183,7 +212,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
             cols = [pa.array(c, k) for c, k in zip(out[1:], kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(out[0], pa.int64())), *cols], names=["id", "license", "matched_words", "coverage", "first_word", "end_word", "start_byte", "end_byte"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, FOUND)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(freed(run), FOUND)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

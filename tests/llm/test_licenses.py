@@ -57,3 +57,48 @@ def test_every_licence_line_of_the_table(spark):
     flat = {k: " " + " ".join(words(v)) + " " for k, v in TEMPLATES.items()}
     want = {(d.doc_id, k) for d in docs.collect() for k, v in flat.items() if v in " " + " ".join(words(d.text)) + " "}
     assert want == got
+
+
+def brute_places(text, index):
+    """All verbatim places of all templates, a template giving way to a longer one that covers its place."""
+    flat = words(text)
+    found = []
+    for name, template in TEMPLATES.items():
+        own, i = words(template), 0
+        while i + len(own) <= len(flat):
+            if flat[i : i + len(own)] == own:
+                found.append((name, i, i + len(own)))
+                i += len(own)
+            else:
+                i += 1
+    longer = lambda f, k: k[2] - k[1] > f[2] - f[1] or (k[2] - k[1] == f[2] - f[1] and k[0] < f[0])
+    return {f for f in found if not any(k != f and f[1] < k[2] and k[1] < f[2] and longer(f, k) for k in found)}
+
+
+def test_every_place_of_repeated_templates(spark):
+    rng = random.Random(21)
+    names = sorted(TEMPLATES)
+    rows = [(n, " ".join([TEMPLATES["mit-line-licensed"]] * n)) for n in (1, 2, 3, 500, 4000)]
+    for i in range(30):
+        parts = []
+        for _ in range(rng.randrange(1, 12)):
+            parts.append(TEMPLATES[rng.choice(names)])
+            if rng.random() < 0.4:
+                parts.append(" ".join(f"q{rng.randrange(99)}" for _ in range(rng.randrange(1, 15))))
+        rows.append((10_000 + i, " ".join(parts)))
+    out = scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.id, set()).add((r.license, r.first_word, r.end_word))
+    for d, t in rows:
+        assert got[d] >= brute_places(t, None), d
+        if d < 10_000:
+            assert len(got[d]) == d
+    assert len(out) == sum(map(len, got.values()))
+
+
+def test_a_changed_place_before_a_whole_one(spark):
+    line = TEMPLATES["bsd-grant"].split()
+    changed = [*line[:4], "also", *line[5:]]
+    df = spark.createDataFrame([(1, " ".join([*changed, *line, *changed]))], "doc_id long, text string")
+    assert [(r.license, r.matched_words, r.first_word) for r in scan(df).orderBy("first_word").collect()] == [("bsd-grant", len(line) - 1, 0), ("bsd-grant", len(line), len(line)), ("bsd-grant", len(line) - 1, 2 * len(line))]
