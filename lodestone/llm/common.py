@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,6 @@ from lodestone.operators.staging import shared_dir, stage
 
 __all__ = ["shared_dir", "stage"]
 
-#: Stands for a null id inside an operator: later than every real id. Results carry the null again.
-NULL_ID = 2**63 - 1
 #: Bytes of text handled at once by the vectorised code; a longer single text is handled alone.
 CHUNK_BYTES = 1 << 20
 
@@ -52,14 +51,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def id_key(col: str) -> Column:
-    """The id with nulls as NULL_ID."""
-    return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
+def spread(id_col: str, text_col: str) -> Column:
+    """A long by which samples are chosen: evenly spread, the same for equal rows."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
-def text_key(col: str) -> Column:
-    """Tells rows with one id and different texts apart; with the id it is the key of a row's own results."""
-    return F.xxhash64(F.coalesce(F.col(col), F.lit("")))
+def text_key(text: Column) -> Column:
+    """16 bytes of the text's SHA-256 (null as empty): with the id the key of a row's own results."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def as_row(columns: list[str]) -> Column:
+    """The caller's columns in one struct, so that no name of an operator's own can clash with theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+
+
+def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column of the struct in the batch's first column."""
+    return pc.struct_field(batch.column(0), [name])
 
 
 def smallest(rows: DataFrame, at: str, want: int) -> list:
@@ -82,6 +91,7 @@ def smallest(rows: DataFrame, at: str, want: int) -> list:
 _RNG = np.random.default_rng(0x5EED)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 _R_INV = np.uint64(pow(int(_R), -1, 2**64))
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -154,6 +164,15 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
+    def second(self) -> np.ndarray:
+        """Another hash of each word's bytes that has nothing in common with h: the sum of scrambled (byte, place)."""
+        length = self.ends - self.starts
+        first = np.cumsum(length) - length
+        place = np.arange(length.sum()) - np.repeat(first, length)
+        byte = self.data[np.repeat(self.starts, length) + place]
+        total = np.r_[np.uint64(0), np.cumsum(mix(byte.astype(np.uint64) * _ODD + (place.astype(np.uint64) << np.uint64(8))))]
+        return mix(total[first + length] - total[first])
+
 
 def grams(h: np.ndarray, n: int, seed: int) -> np.ndarray:
     """Hashes of each n consecutive word hashes (shorter by n - 1 than h)."""

@@ -7,14 +7,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lodestone.llm.common import chunks, fold, freed, id_key, table, text_key
+from lodestone.llm.common import as_row, chunks, column_of, fold, freed, spread, table
 
 ORDER = 3
 #: The training sample: at most so many documents of a language, and of these as many as fit into so many bytes.
 SAMPLE_DOCS, SAMPLE_BYTES = 600, 1 << 20
-#: Bound of the table that goes to the workers; contexts beyond it, rarest first, give way to shorter ones.
-TABLE_BYTES = 48 << 20
+#: A context is kept if it occurs so often in one language's sample; rarer ones give way to the next shorter one.
+LEAST_COUNT = 3
+#: Bound of the table that goes to the workers: a model that would need more is refused, never thinned out.
+TABLE_BYTES = 256 << 20
 SCALE = 512.0
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
@@ -40,9 +43,10 @@ class Model:
     longest kept context that the bytes before it end with. A language codes a byte it has seen in a context with
     probability count / (total + distinct); else it pays the escape, distinct / (total + distinct), and goes on in
     the next shorter context, down to all 256 bytes alike; a context it has never been in costs it nothing.
+    A byte's length is rounded down to 1/SCALE bits and taken as 64 bits at most; sums of these are exact.
     """
 
-    def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER, table_bytes: int = TABLE_BYTES):
+    def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER, table_bytes: int = TABLE_BYTES, least: int = LEAST_COUNT):
         self.order, self.langs = order if samples else 0, sorted(samples)
         data, starts = {}, {}
         for lang in self.langs:
@@ -54,8 +58,9 @@ class Model:
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         self.width = len(seen) + 1
         grams = {(lang, k): np.unique(_context(data[lang], starts[lang], k) * 256 + data[lang], return_counts=True) for lang in self.langs for k in range(order + 1)}
-        keep = max(1, table_bytes // (2 * self.width * max(1, len(self.langs))) - 1)
-        contexts = self._contexts(grams, keep)
+        contexts = self._contexts(grams, least)
+        if (size := 2 * sum(map(len, contexts)) * self.width * len(self.langs)) > table_bytes:
+            raise ValueError(f"the table of {len(self.langs)} languages has {size} bytes, {table_bytes} are allowed: ask for a smaller order or a larger least count")
         cost = np.full((1 + sum(map(len, contexts)), self.width, len(self.langs)), 8.0)
         self.index: list[np.ndarray] = []
         base = 0
@@ -83,19 +88,17 @@ class Model:
         self._states()
 
     @staticmethod
-    def _contexts(grams: dict, keep: int) -> list[np.ndarray]:
-        """Sorted contexts of each order: those of the shortest orders first, then the most frequent."""
+    def _contexts(grams: dict, least: int) -> list[np.ndarray]:
+        """Sorted contexts of each order: those that one language has least times, and whose shorter ones are there."""
         out, top = [np.zeros(1, np.int64)], max(k for _, k in grams) if grams else 0
         for k in range(1, top + 1):
-            both = [(g >> 8, n) for (_, o), (g, n) in grams.items() if o == k]
-            found, inverse = np.unique(np.concatenate([g for g, _ in both]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([n for _, n in both]), len(found))
-            parent = found % 256 ** (k - 1)
-            found, n = found[np.isin(parent, out[-1])], n[np.isin(parent, out[-1])]
-            room = max(0, keep - sum(map(len, out)))
-            if len(found) > room:
-                found = np.sort(found[np.argsort(-n, kind="stable")[:room]])
-            out.append(found)
+            kept = [np.zeros(0, np.int64)]
+            for (_, o), (g, n) in grams.items():
+                if o == k:
+                    found, inverse = np.unique(g >> 8, return_inverse=True)
+                    kept.append(found[np.bincount(inverse, n, len(found)) >= least])
+            own = np.unique(np.concatenate(kept))
+            out.append(own[np.isin(own % 256 ** (k - 1), out[-1])])
         return out
 
     def _states(self) -> None:
@@ -153,7 +156,7 @@ class Model:
 
 def sample(docs: DataFrame, train, id_col: str, text_col: str, lang_col: str) -> dict[str, list[bytes]]:
     """The bounded training sample: of each language the documents with the smallest hashes of their ids."""
-    at = F.xxhash64(id_key(id_col), text_key(text_col))
+    at = spread(id_col, text_col)
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     small = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), at.alias("at"), F.octet_length(text_col).alias("n"))
     counts = {r.lang: r.n for r in small.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -185,24 +188,22 @@ def train(docs: DataFrame, where, id_col: str = "doc_id", text_col: str = "text"
     return Model(sample(docs, where, id_col, text_col, lang_col))
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs with two more columns, {prefix}lang_pred and {prefix}score, which must not exist there.
+def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(row, lang_pred, score) for every row of docs; row has all its columns, whatever their names.
 
     The language with the shortest code for the whole text wins; score is its share of the probability. A text that
     is null, or without a letter, is 'und' with score 0, and so is everything under a model of no language. Ties go
-    to the first name. All rows and columns stay, repeated ones too.
+    to the first name. Repeated rows stay; an empty table gives no row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f"{prefix}lang_pred", f"{prefix}score"]
-    place = docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
-            lang, score = shared.value.predict(b.column(place))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*b.schema.names, *names])
+            lang, score = shared.value.predict(column_of(b, text_col))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{names[0]}` string", f"`{names[1]}` double"])
-    return docs.mapInArrow(freed(run), schema)
+    rows = docs.select(as_row(docs.columns))
+    return rows.mapInArrow(freed(run), StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def remainder(id_col: str, n: int):
@@ -214,4 +215,4 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder("doc_id", 4) == 2
     model = train(docs, ~held)
-    return identify(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs.select("doc_id", held.alias("held_out"), "text"), model).select("row.doc_id", "row.held_out", "lang_pred", "score")

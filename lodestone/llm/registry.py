@@ -11,6 +11,7 @@ from lodestone.llm.licenses import op8_license_scan
 from lodestone.llm.packing import op6_best_fit_packing
 from lodestone.llm.pages import op2_html_extraction
 from lodestone.llm.simhash import op1_simhash_near_dedup
+from lodestone.llm.substring import ORACLE as OP4_SQL
 from lodestone.llm.substring import op4_substring_dedup
 from lodestone.llm.tokencount import op9_token_counts
 from lodestone.llm.toxicity import op5_toxicity
@@ -31,4 +32,4 @@ QUERIES = {
 
 #: The others can't be said in SQL, or not on whole tables: no seeded XXH64, tokenizer, learning or packing there. They
 #: are tested against brute force, the library itself, or held-out labels.
-ORACLES: dict[str, str] = {"op3_exact_top_k": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_exact_top_k": OP3_SQL, "op4_substring_dedup": OP4_SQL}

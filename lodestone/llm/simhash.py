@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import NULL_ID, freed, id_key, stage, table, text_key
-from lodestone.llm.graph import components
+from lodestone.llm.common import as_row, freed, stage, table, text_key
+from lodestone.operators.components import components
 
 SEED = 42
 BITS = 64
@@ -41,15 +41,17 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, th, fp): the fingerprint as a signed long, for every row of docs."""
+    """(id, th, fp): the fingerprint as a signed long, for every row of docs; th is the text's key."""
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            texts = (t.as_py() for t in b.column(2))
+            fp = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(fp)], names=["id", "th", "fp"])
 
-    cols = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(freed(run), "id long, th long, fp long")
+    text = F.col(f"`{text_col}`").cast("string")
+    cols = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_key(text).alias("th"), text.alias("text"))
+    return cols.mapInArrow(freed(run), "id long, th binary, fp long")
 
 
 def radii(segments: int, distance: int) -> list[int]:
@@ -118,12 +120,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives no row. Other columns aren't read.
     """
     rows = stage(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
-    nodes = stage(rows.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("least")), "simhash-nodes")
+    nodes = stage(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     roots = components(links(nodes, nodes.count(), distance)).withColumnRenamed("node", "fp")
     named = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = stage(named, "simhash-roots")
     groups = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(groups, "root").select("fp", "root", F.expr(f"nullif(component, {NULL_ID}L)").alias("component"))
+    named = named.join(groups, "root").select("fp", "root", "component")
     return rows.join(named, "fp").select("id", "th", "fp", "root", "component")
 
 
@@ -132,10 +134,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but one row of each group: the one with the smallest id (null last), then the smallest text key."""
-    found = near_duplicates(docs)
-    best = found.groupBy("root").agg(F.min(F.struct(F.coalesce("id", F.lit(NULL_ID)).alias("k"), F.col("th"))).alias("best")).select("best.k", "best.th")
-    ranked = docs.withColumns({"_k": id_key("doc_id"), "_th": text_key("text")})
-    kept = ranked.join(best.distinct(), (F.col("_k") == F.col("k")) & (F.col("_th") == F.col("th")), "left_semi")
-    return kept.dropDuplicates(["_k", "_th"]).select(*docs.columns)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one row of each group: the one with the smallest id (null last), then the smallest text key.
+
+    Repeated rows are one group like all near-duplicates. All columns stay as they are, whatever their names; null and
+    empty texts are a group of their own with all texts without a word. An empty table stays empty.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    first = F.struct(F.col("id").isNull().alias("null"), "id", "th")
+    best = found.groupBy("root").agg(F.min(first).alias("best")).select("best.id", "best.th").distinct()
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_key(text).alias("th"), as_row(docs.columns)).alias("r")
+    kept = rows.join(best.alias("b"), F.expr("r.th = b.th AND r.id <=> b.id"), "left_semi")
+    return kept.dropDuplicates(["th", "id"]).select("row.*")

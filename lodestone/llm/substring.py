@@ -7,22 +7,27 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Words, chunks, grams, id_key, mix, partitions, table
+from lodestone.llm.common import Words, chunks, freed, give_back, grams, mix, partitions, table
 
 LOW48 = np.uint64(2**48 - 1)
-FOUND = "id long, th int, found binary"
+#: A bucket holds the hashes of about so many bytes of text, so its size stays the same however large the corpus is.
+BUCKET_BYTES = 12 << 20
+#: The shortest windows looked at have more than so many words; each level at most doubles the length.
+FIRST = 6
+FOUND = "id long, th long, found binary"
 ASKED = "bucket int, hi binary, lo binary, doc binary, pos binary, ids binary, ths binary"
 
 
 def levels(window: int) -> list[int]:
     """Window lengths from the shortest looked at to the one asked for; each is at most twice the one before."""
     out = [window]
-    while out[0] > 12:
+    while out[0] > 2 * FIRST:
         out.insert(0, out[0] // 2 + 1)
-    return out
+    return out if len(out) > 1 else [max(1, window // 2 + 1), window]
 
 
 def _sampled(words: Words, short: int, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,18 +60,25 @@ def _blobs(ids: np.ndarray, ths: np.ndarray, doc: np.ndarray, values: np.ndarray
     return pa.record_batch([pa.array(ids[doc[at]]), pa.array(ths[doc[at]]), pa.array(blob, pa.binary())], names=names)
 
 
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of the stretches of equal values."""
+    if not len(values):
+        return []
+    at = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return list(zip(at.tolist(), [*at[1:].tolist(), len(values)], strict=True))
+
+
 def _ask(buckets: int, hi, lo, doc, pos, ids, ths):
-    """Rows of ASKED: one for each bucket, with the arrays of what falls into it."""
+    """Rows of ASKED: one for each bucket that anything falls into, with its arrays, document by document."""
     rows: list[list] = [[] for _ in range(7)]
     bucket = (hi % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for k in range(buckets):
-        i = order[cuts[k] : cuts[k + 1]]
-        if len(i):
-            own, at = np.unique(doc[i], return_inverse=True)
-            for col, x in zip(rows, (k, _buffer(hi[i]), _buffer(lo[i]), _buffer(at.astype("<u4")), _buffer(pos[i]), _buffer(ids[own]), _buffer(ths[own])), strict=True):
-                col.append(x)
+    order = np.lexsort([pos, doc, bucket])
+    bucket = bucket[order]
+    for a, b in _runs(bucket):
+        i = order[a:b]
+        own, at = np.unique(doc[i], return_inverse=True)
+        for col, x in zip(rows, (int(bucket[a]), _buffer(hi[i]), _buffer(lo[i]), _buffer(at.astype("<u4")), _buffer(pos[i]), _buffer(ids[own]), _buffer(ths[own])), strict=True):
+            col.append(x)
     return pa.record_batch([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "hi", "lo", "doc", "pos", "ids", "ths"])
 
 
@@ -74,7 +86,7 @@ def _union(asked=None, found=None):
     """A row batch of both kinds, told apart by kind."""
     names = ["bucket", "hi", "lo", "doc", "pos", "ids", "ths", "id", "th", "found"]
     n = (asked or found).num_rows
-    empty = {"bucket": pa.int32(), "id": pa.int64(), "th": pa.int32()}
+    empty = {"bucket": pa.int32(), "id": pa.int64(), "th": pa.int64()}
     have = dict(zip((asked or found).schema.names, (asked or found).columns, strict=True))
     return pa.record_batch([have.get(x, pa.nulls(n, empty.get(x, pa.binary()))) for x in names], names=names)
 
@@ -93,27 +105,40 @@ def _gather(table_: pa.Table) -> tuple[np.ndarray, ...]:
         parts[2].append(np.frombuffer(r["doc"], "<u4").astype(np.int64) + base)
         parts[3].append(np.frombuffer(r["pos"], "<u4"))
         ids.append(own)
-        ths.append(np.frombuffer(r["ths"], "<i4"))
+        ths.append(np.frombuffer(r["ths"], "<i8"))
         base += len(own)
     hi, lo, doc, pos = (np.concatenate(p) for p in parts[:4])
     ids, ths = np.concatenate(ids), np.concatenate(ths)
     # a document met in several rows gets one index
-    both = np.stack([ids, ths.astype(np.int64)], 1)
-    same, at = np.unique(both, axis=0, return_inverse=True)
-    return hi, lo, at.reshape(-1)[doc], pos, np.ascontiguousarray(same[:, 0]), np.ascontiguousarray(same[:, 1]).astype(np.int32)
+    order = np.lexsort([ths, ids])
+    new = np.ones(len(order), bool)
+    new[1:] = (ids[order][1:] != ids[order][:-1]) | (ths[order][1:] != ths[order][:-1])
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return hi, lo, at[doc], pos, ids[order][new], ths[order][new]
 
 
-def _groups(keys: list[np.ndarray], ids: np.ndarray):
-    """order, start flags, and the least id of each entry's group, for entries grouped by keys."""
-    order = np.lexsort([ids, *keys[::-1]])
+def ranks(ids: np.ndarray, ths: np.ndarray) -> np.ndarray:
+    """Documents in the order of their ids: equal ids have one rank, and so have all null ids, the last one."""
+    null = (ths & 1).astype(bool)
+    out = np.full(len(ids), np.iinfo(np.int64).max)
+    out[~null] = np.unique(ids[~null], return_inverse=True)[1]
+    return out
+
+
+def _groups(keys: list[np.ndarray], rank: np.ndarray):
+    """(order, least, greatest): entries sorted by keys, and of each one's group of equal keys the outermost ranks."""
+    order = np.lexsort([rank, *keys[::-1]])
+    if not len(order):
+        return order, rank, rank
     new = np.ones(len(order), bool)
-    if len(order) > 1:
-        new[1:] = False
-        for k in keys:
-            new[1:] |= k[order][1:] != k[order][:-1]
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
     group = np.cumsum(new) - 1
     first = np.flatnonzero(new)
-    return order, group, ids[order][first][group], ids[order][np.r_[first[1:], len(order)] - 1][group] if len(order) else ids
+    rank = rank[order]
+    return order, rank[first][group], rank[np.r_[first[1:], len(order)] - 1][group]
 
 
 def _first_level(short: int, long: int, buckets: int):
@@ -141,17 +166,18 @@ def _first_level(short: int, long: int, buckets: int):
             if not hs or not sum(map(len, hs)):
                 continue
             h, d = np.concatenate(hs), np.concatenate(docs)
-            order, _, low, high = _groups([h], ids[d])
+            rank = ranks(ids, ths)
+            order, low, high = _groups([h], rank[d])
             h, d = h[order], d[order]
             many = low != high
-            edge = ~many | (ids[d] == low) | (ids[d] == high)
+            edge = ~many | (rank[d] == low) | (rank[d] == high)
             if many.any():
                 yield _union(found=_blobs(ids, ths, d[many], h[many], ["id", "th", "found"]))
             e = h[edge]
             zero = np.zeros(len(e), "<u4")
             yield _union(asked=_ask(buckets, e, zero, d[edge], zero, ids, ths))
 
-    return run
+    return freed(run)
 
 
 PACKED = "dest int, ids binary, ths binary, sizes binary, vals binary"
@@ -160,18 +186,17 @@ PACKED_TYPES = pa.schema([("dest", pa.int32()), *((x, pa.binary()) for x in ("id
 
 def _address(dests: int, ids, ths, doc, values) -> pa.Table:
     """One row for each destination that any of the documents falls to: the documents' keys, sizes and values."""
-    home = (mix(ids.view(np.uint64) ^ (ths.astype(np.int64).view(np.uint64) << np.uint64(17))) % np.uint64(dests)).astype(np.int64)
+    home = (mix(ids.view(np.uint64) + mix(ths.view(np.uint64))) % np.uint64(dests)).astype(np.int64)
     order = np.lexsort([doc, home[doc]])
     doc, values = doc[order], values[order]
     rows: list[list] = [[] for _ in range(5)]
-    cuts = np.searchsorted(home[doc], np.arange(dests + 1))
-    for k in range(dests):
-        d, v = doc[cuts[k] : cuts[k + 1]], values[cuts[k] : cuts[k + 1]]
-        if len(d):
-            at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-            sizes = np.diff(np.r_[at, len(d)]).astype("<u4")
-            for col, x in zip(rows, (k, _buffer(ids[d[at]]), _buffer(ths[d[at]]), _buffer(sizes), _buffer(v)), strict=True):
-                col.append(x)
+    for a, b in _runs(home[doc]):
+        d, v = doc[a:b], values[a:b]
+        at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        sizes = np.diff(np.r_[at, len(d)]).astype("<u4")
+        for col, x in zip(rows, (int(home[d[0]]), _buffer(ids[d[at]]), _buffer(ths[d[at]]), _buffer(sizes), _buffer(v)), strict=True):
+            col.append(x)
+    give_back()
     return pa.Table.from_arrays([pa.array(r, t.type) for r, t in zip(rows, PACKED_TYPES, strict=True)], schema=PACKED_TYPES)
 
 
@@ -180,7 +205,7 @@ def _answer_repeated(dests: int):
 
     def run(table_: pa.Table) -> pa.Table:
         hi, _, doc, _, ids, ths = _gather(table_)
-        order, _, low, high = _groups([hi], ids[doc])
+        order, low, high = _groups([hi], ranks(ids, ths)[doc])
         many = low != high
         return _address(dests, ids, ths, doc[order][many], hi[order][many])
 
@@ -192,8 +217,9 @@ def _answer_later(dests: int):
 
     def run(table_: pa.Table) -> pa.Table:
         hi, lo, doc, pos, ids, ths = _gather(table_)
-        order, _, low, _ = _groups([hi, lo], ids[doc])
-        later = ids[doc][order] > low
+        rank = ranks(ids, ths)[doc]
+        order, low, _ = _groups([hi, lo], rank)
+        later = rank[order] > low
         return _address(dests, ids, ths, doc[order][later], pos[order][later])
 
     return run
@@ -207,10 +233,10 @@ def _unpack(width: int):
         for r in table_.select(["ids", "ths", "sizes", "vals"]).to_pylist():
             ends = np.cumsum(np.frombuffer(r["sizes"], "<u4").astype(np.int64)) * width
             a = 0
-            for i, t, b in zip(np.frombuffer(r["ids"], "<i8").tolist(), np.frombuffer(r["ths"], "<i4").tolist(), ends.tolist(), strict=True):
+            for i, t, b in zip(np.frombuffer(r["ids"], "<i8").tolist(), np.frombuffer(r["ths"], "<i8").tolist(), ends.tolist(), strict=True):
                 told.setdefault((i, t), []).append(r["vals"][a:b])
                 a = b
-        cols = [pa.array([k[0] for k in told], pa.int64()), pa.array([k[1] for k in told], pa.int32()), pa.array([b"".join(v) for v in told.values()], pa.binary())]
+        cols = [pa.array([k[0] for k in told], pa.int64()), pa.array([k[1] for k in told], pa.int64()), pa.array([b"".join(v) for v in told.values()], pa.binary())]
         return pa.Table.from_arrays(cols, names=["id", "th", "found"])
 
     return run
@@ -246,22 +272,24 @@ def _next_level(short: int, long: int, sampled: bool, last: bool, buckets: int):
                 seed = 3 if last else 1
                 h = grams(w.h, long, seed)[i]
                 parts[0].append(h if last else h & LOW48)
-                parts[1].append((grams(w.h, long, 5)[i] >> np.uint64(32)).astype("<u4") if last else np.zeros(len(i), "<u4"))
+                parts[1].append((grams(w.second(), long, 5)[i] >> np.uint64(32)).astype("<u4") if last else np.zeros(len(i), "<u4"))
                 parts[2].append(w.doc[i] + a)
                 parts[3].append((i - w.first[w.doc[i]]).astype("<u4"))
             if not parts[0] or not sum(map(len, parts[0])):
                 continue
             hi, lo, doc, pos = (np.concatenate(p) for p in parts)
-            order, _, low, high = _groups([hi, lo], ids[doc])
+            rank = ranks(ids, ths)
+            order, low, high = _groups([hi, lo], rank[doc])
             hi, lo, doc, pos = hi[order], lo[order], doc[order], pos[order]
-            known = ids[doc] > low if last else low != high
-            ask = ~known if last else ~known | (ids[doc] == low) | (ids[doc] == high)
+            own = rank[doc]
+            known = own > low if last else low != high
+            ask = ~known if last else ~known | (own == low) | (own == high)
             if known.any():
                 yield _union(found=_blobs(ids, ths, doc[known], pos[known] if last else hi[known], ["id", "th", "found"]))
             if ask.any():
                 yield _union(asked=_ask(buckets, hi[ask], lo[ask], doc[ask], pos[ask], ids, ths))
 
-    return run
+    return freed(run)
 
 
 def _settle(both: DataFrame, answer, width: int) -> DataFrame:
@@ -276,21 +304,25 @@ def _settle(both: DataFrame, answer, width: int) -> DataFrame:
     return found.union(told).groupBy("id", "th").agg(F.collect_list("found").alias("found"))
 
 
+def bucket_count(rows: DataFrame, least: int) -> int:
+    """Buckets for the hashes of rows' texts: so many that each has those of about BUCKET_BYTES of text."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, -(-size // BUCKET_BYTES))
+
+
 def repeated(rows: DataFrame, window: int) -> DataFrame:
     """(id, th, found): for each document of rows (id, th, text) with any, the word places (binary lists of unsigned
     32-bit numbers) where a window starts whose word sequence also starts in a document with a smaller id.
 
     Level by level: short windows first (of each long window only the one with the least hash), and only where they
     occur in two documents are they extended to about twice the length, until the wanted length is reached or
-    nothing is left. Hashes travel in arrays, one row for each batch and bucket. Each level only narrows what the
-    next one looks at; the last one compares 96 bits of two independent hashes.
+    nothing is left. Hashes travel in arrays, one row for each batch and bucket; the number of buckets follows the
+    bytes of text, so a bucket's size doesn't grow with the corpus. Each level only narrows what the next one looks at;
+    the last one compares 64 bits of one hash of the words' bytes and 32 of another that is made in another way.
     """
-    buckets = partitions(rows.sparkSession)
+    buckets = bucket_count(rows, partitions(rows.sparkSession))
     ladder = levels(window)
-    short = ladder[0]
-    if len(ladder) == 1:
-        short, ladder = max(1, window // 2 + 1), [max(1, window // 2 + 1), window]
-    out = _settle(rows.select("id", "th", "text").mapInArrow(_first_level(short, ladder[1], buckets), BOTH), _answer_repeated, 8)
+    out = _settle(rows.select("id", "th", "text").mapInArrow(_first_level(ladder[0], ladder[1], buckets), BOTH), _answer_repeated, 8)
     for i, long in enumerate(ladder[1:]):
         last = long == window
         there = rows.select("id", "th", "text").join(out, ["id", "th"]).select("id", "th", "text", "found")
@@ -307,17 +339,36 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
+def row_key(id_col: str, text: Column) -> tuple[Column, Column]:
+    """(id, th): the key of a row's own results. th has 63 bits of the text's SHA-256 and, lowest, whether the id is
+    null; then id has 64 more bits of the digest. So two rows share a key only if id and text are equal (but for equal
+    digests' bits), and such rows have the same results."""
+    digest = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    part = lambda at: F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
+    null = F.col(f"`{id_col}`").isNull()
+    id_ = F.when(null, part(17)).otherwise(F.col(f"`{id_col}`").cast("long"))
+    return id_, F.shiftleft(F.shiftright(part(1), 1), 1).bitwiseOR(null.cast("long"))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
-    text = F.col(text_col).cast("string")
+    text = F.col(f"`{text_col}`").cast("string")
+    id_, th = row_key(id_col, text)
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if carry else []
-    return docs.select(id_key(id_col).alias("id"), F.hash(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"), *row)
+    return docs.select(id_.alias("id"), th.alias("th"), text.alias("text"), *row)
+
+
+def _texts(batch: pa.RecordBatch):
+    """(text, found) of a batch's rows, few texts in memory at a time."""
+    for a in range(0, batch.num_rows, 256):
+        part = batch.slice(a, 256)
+        yield from zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)
 
 
 def _finish(window: int, with_text: bool):
     def run(batches):
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, found in _texts(b):
                 words = text.encode("utf-8", "surrogatepass").split() if text else []
                 n, keep = len(words), words
                 if found:
@@ -332,9 +383,10 @@ def _finish(window: int, with_text: bool):
                 yield pa.record_batch([*b.columns[4:], *(pa.array(x, t) for x, t in zip((out[0], out[1], out[3]), (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["row", "n_words", "n_removed", "kept_text"])
                 continue
             cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
-            yield pa.record_batch([b.column(0), b.column(3), *cols], names=["id", "th", "n_words", "n_removed", "kept_sha256"])
+            id_ = pc.if_else(pc.equal(pc.bit_wise_and(b.column(3), 1), 1), pa.scalar(None, pa.int64()), b.column(0))
+            yield pa.record_batch([id_, b.column(3), *cols], names=["id", "th", "n_words", "n_removed", "kept_sha256"])
 
-    return run
+    return freed(run)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
@@ -351,8 +403,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = _keyed(docs, id_col, text_col)
     # both uses of the text below join on (id, th) after the same exchange, which Spark runs once
     joined = rows.join(repeated(rows, window), ["id", "th"], "left").select("id", "text", "found", "th")
-    out = joined.mapInArrow(_finish(window, False), "id long, th int, n_words long, n_removed long, kept_sha256 string")
-    return out.withColumn("id", F.expr("nullif(id, 9223372036854775807L)"))
+    return joined.mapInArrow(_finish(window, False), "id long, th long, n_words long, n_removed long, kept_sha256 string")
 
 
 def substring_dedup_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
@@ -369,3 +420,24 @@ def substring_dedup_text(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+#: The same in DuckDB SQL: every window of every document, and the words that one with an earlier start covers.
+ORACLE = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, list_aggregate(w[i:i + 12], 'string_agg', ' ') AS k
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)
+), later AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM windows) WHERE first < doc_id
+), gone AS (
+    SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM later)
+), kept AS (
+    SELECT n.doc_id, string_agg(n.x, ' ' ORDER BY n.p) AS t
+    FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM words) n ANTI JOIN gone g ON n.doc_id = g.doc_id AND n.p = g.p
+    GROUP BY n.doc_id
+)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+"""

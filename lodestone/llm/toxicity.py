@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lodestone.llm.common import freed, id_key, smallest, stage, table, text_key
+from lodestone.llm.common import as_row, column_of, freed, smallest, spread, stage, table
 from lodestone.llm.langid import remainder
 
 #: The bounded training sample: of each label the documents with the smallest hashes, of those up to so many characters.
@@ -29,8 +30,8 @@ STEM, LONGEST_STEM, CONTINUATIONS = 4, 10, 3
 WHOLE = 400.0
 #: Fuzzy terms have this length at least for one edit.
 FUZZY = 5
-#: Words kept by a worker with what they match; it changes no result.
-CACHE = 400_000
+#: Characters of the words that a worker keeps with what they match, and automaton steps kept; neither changes a result.
+CACHE_CHARS, CACHE_STEPS = 4 << 20, 400_000
 #: Words to either side of a hit that decide what it is.
 WINDOW = 12
 OPEN, CLOSE, BOTH = "«“„‘‹([", "»”’›)]", "\"'"
@@ -69,6 +70,20 @@ class Matcher:
         self.start = self._close({(0, 0)})
         self.steps: dict[tuple[frozenset, str], frozenset] = {}
         self.known: dict[str, tuple[float, int] | None] = {}
+        self.chars = 0
+
+    def clear(self) -> None:
+        self.known.clear()
+        self.steps.clear()
+        self.chars = 0
+
+    def keep(self, word: str, got: tuple[float, int] | None) -> None:
+        if len(word) <= 64:
+            self.chars += len(word) + 8
+            if self.chars > CACHE_CHARS:
+                self.known.clear()
+                self.chars = len(word) + 8
+            self.known[word] = got
 
     def _close(self, state: set) -> frozenset:
         return frozenset(state | {(c, 1) for n, e in state if not e for c in self.trie.next[n].values()})
@@ -84,7 +99,7 @@ class Matcher:
                     out.add((n, 1))
                     out.update((x, 1) for x in self.trie.next[n].values())
             got = self._close(out)
-            if len(self.steps) >= CACHE:
+            if len(self.steps) >= CACHE_STEPS:
                 self.steps.clear()
             self.steps[state, c] = got
         return got
@@ -110,10 +125,8 @@ class Matcher:
         try:
             return self.known[word]
         except KeyError:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            got = self._match(word) if len(word) <= 64 else None
-            self.known[word] = got
+            got = self._match(word)
+            self.keep(word, got)
             return got
 
 
@@ -160,8 +173,7 @@ class Model:
             got = known.get(t, 0)
             if got == 0:
                 got = self.matcher(clean_word(t))
-                if len(known) < CACHE:
-                    known[t] = got
+                self.matcher.keep(t, got)
             if got is not None:
                 hits.append((i, got))
         seen: set[str] = set()
@@ -245,8 +257,7 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
         hessian = (x * (p * (1 - p))[:, None]).T @ x + 2.0 * np.eye(len(w))
         w = w - np.linalg.solve(hessian, gradient)
     model.weights, model.bias = np.r_[np.maximum(w[:-2], 0.0), w[-2]], float(w[-1])
-    model.matcher.known.clear()
-    model.matcher.steps.clear()
+    model.matcher.clear()
     return model
 
 
@@ -255,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, where) -> Model:
     counts as toxic. Only the sample's texts come to the driver."""
     toxic = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where(where & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
-    rows = rows.withColumn("at", F.xxhash64(id_key("doc_id"), text_key("text")))
+    rows = rows.withColumn("at", spread("doc_id", "text"))
     small = stage(rows.select("doc_id", "at").join(toxic.hint("merge"), "doc_id").select("at", "toxic").distinct(), "toxicity-labels")
     picks = [smallest(small.where(F.col("toxic") == k), "at", SAMPLE_DOCS) for k in (1, 0)]
     picked = docs.sparkSession.createDataFrame([(r.at, r.toxic) for p in picks for r in p], "at long, toxic int")
@@ -264,26 +275,26 @@ def train(docs: DataFrame, labels: DataFrame, where) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without its text, with a column score: the probability of a toxic text, for every row.
+    """(row, score) for every row of docs: all its columns, whatever their names, and the probability of a toxic text.
 
-    Null and empty texts get the score of a text without a hit. Rows, repeated ones too, and other columns stay.
+    Null and empty texts get the score of a text without a hit. Repeated rows stay and get equal scores; an empty table
+    gives no row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != text_col]
-    place = docs.columns.index(text_col)
 
     def run(batches):
         model = shared.value
         for b in batches:
-            out = np.array([model.score(t) for t in b.column(place).to_pylist()], dtype=float)
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != place), pa.array(out)], names=[*names, "score"])
+            out = np.array([model.score(t.as_py()) for t in column_of(b, text_col)], dtype=float)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["row", "score"])
+        model.matcher.clear()
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col] + ["score double"])
-    return docs.mapInArrow(freed(run), schema)
+    rows = docs.select(as_row(docs.columns))
+    return rows.mapInArrow(freed(run), StructType([*rows.schema.fields, StructField("score", DoubleType())]))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = remainder("doc_id", 5) == 0
     out = score(docs.select("doc_id", held.alias("held_out"), "text"), train(docs, labels, ~held))
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

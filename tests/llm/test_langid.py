@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lodestone.llm.langid import Model, fold, identify, remainder, train
 
@@ -35,15 +36,20 @@ def test_code_lengths_are_exact():
     samples = {"a": [b"hello world this is", "Éclair été".encode(), b""], "b": [b"the thing", b"x"]}
     texts = [b"", b"h", "Hello the ÉTé zq!\xff".encode(), b"thing world" * 50, b"\x00\x01"]
     data = np.frombuffer(b"".join(texts), np.uint8)
-    got = Model(samples).lengths(data, np.cumsum([0, *map(len, texts)]))
+    got = Model(samples, least=1).lengths(data, np.cumsum([0, *map(len, texts)]))
     for row, t in zip(got, texts, strict=True):
         for value, lang in zip(row, "ab", strict=True):
             assert abs(value - brute(samples[lang], t)) < 0.01 * (len(t) + 1)
 
 
 def test_pruned_contexts_fall_back():
-    m = Model({"a": [b"abcabcabd"]}, table_bytes=60)
-    assert sum(map(len, m.contexts)) < 6 and np.isfinite(m.lengths(np.frombuffer(b"abc", np.uint8), np.array([0, 3]))).all()
+    m = Model({"a": [b"abcabcabd"], "b": [b"xyz"]}, least=2)
+    assert [len(c) for c in m.contexts] == [1, 3, 3, 3]  # a, b, c; ab, bc, ca; abc, bca, cab
+    whole = Model({"a": [b"abcabcabd"]}, least=2)
+    assert whole.contexts[3].tolist() == m.contexts[3].tolist()  # another language takes no context away
+    assert np.isfinite(m.lengths(np.frombuffer(b"abc", np.uint8), np.array([0, 3]))).all()
+    with pytest.raises(ValueError, match="bytes"):
+        Model({"a": [b"abcabcabd"]}, table_bytes=10)
 
 
 def test_identify(spark):
@@ -53,7 +59,7 @@ def test_identify(spark):
     rows += [(100, None, "xx", "s"), (101, "", None, "s"), (102, "123 !!", "yy", "s"), (None, "moku zune", "yy", "s"), (3, rows[3][1], rows[3][2], "s"), (103, "kata " * 30000, None, "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, at string")
     model = train(docs, remainder("doc_id", 4) != 2)
-    out = identify(docs, model).collect()
+    out = identify(docs, model).select("row.*", "lang_pred", "score").collect()
     assert len(out) == len(rows)
     for r in out:
         assert 0 <= r.score <= 1
@@ -66,5 +72,5 @@ def test_identify(spark):
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = remainder("doc_id", 4) == 2
-    out = identify(docs.where(held), train(docs, ~held)).where("lang is not null")
+    out = identify(docs.where(held), train(docs, ~held)).selectExpr("row.lang", "lang_pred").where("lang is not null")
     assert out.where("lang = lang_pred").count() >= 0.98 * out.count()

@@ -46,3 +46,33 @@ def test_stages_in_order(spark, tmp_path):
     five = step["packing"](spark, four, str(tmp_path))
     assert {r.doc_id for r in five.collect()} == {r.doc_id for r in four.collect()}
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect())) == sorted(map(tuple, five.drop("sequence_id", "offset").collect()))
+
+CLASHES = ("k", "th", "_k", "_th", "id", "fp", "root", "row", "best", "null", "found", "component", "lang_pred", "_lang_pred", "score", "_score", "kept_text", "n_words", "n_removed", "item_id", "at", "b", "bucket")
+
+
+def test_edge_cases_of_every_stage(spark, tmp_path):
+    """Clashing columns keep their values; nulls, empty and long texts, repeated rows and empty tables give a defined result."""
+    body = [" ".join(f"{w}{i}" for w in "the river runs past old stone houses and under a bridge of iron while we wait".split()) for i in range(8)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(body)]
+    rows += [(None, body[0], None, None, None), (20, None, "en", None, 0), (21, "", None, "s", 0), rows[3], rows[3], (22, " ".join(f"lange{i % 977}wort" for i in range(40000)), "en", "s", 1), (2**63 - 1, body[1], "en", "s", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, *(f"{c}-{r[0]}" for c in CLASHES)) for r in rows], SCHEMA + ", " + ", ".join(f"`{c}` string" for c in CLASHES))
+    bench = spark.createDataFrame([(1, body[5]), (None, None), (2, "")], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    steps, at = dict(corpus_pipeline.STAGES), str(tmp_path)
+    for name in ("language_id", "near_dedup", "substring_dedup", "decontamination"):
+        out = steps[name](spark, docs, at)
+        assert out.columns == docs.columns and steps[name](spark, docs.limit(0), at).count() == 0
+        got = out.collect()
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in got for c in CLASHES)
+        ids = sorted((-1 if r.doc_id is None else r.doc_id) for r in got)
+        want = {
+            "language_id": [-1, 0, 1, 2, 3, 3, 3, 4, 5, 6, 7, 22, 2**63 - 1],
+            # texts without a word are one group, which its least id names; of equal texts the least id stays, null last
+            "near_dedup": [0, 1, 2, 3, 4, 5, 6, 7, 20, 22],
+            # rows of one id never take from each other; the largest id and null ids lose what others have
+            "substring_dedup": [-1, 0, 1, 2, 3, 3, 3, 4, 5, 6, 7, 20, 21, 22],
+            "decontamination": [-1, -1, 0, 1, 2, 3, 3, 3, 4, 6, 7, 20, 21, 22, 2**63 - 1],
+        }[name]
+        assert ids == want, name
+    packed = steps["packing"](spark, docs, at)
+    assert {r.doc_id for r in packed.collect()} == {r[0] for r in rows} and steps["packing"](spark, docs.limit(0), at).count() == 0

@@ -14,7 +14,7 @@ def brute(rows, w):
     for (d, _), x in zip(rows, split, strict=True):
         for i in range(len(x) - w + 1):
             k = tuple(x[i : i + w])
-            first[k] = min(first.get(k, 2**64), top if d is None else d)
+            first[k] = min(first.get(k, 2**80), top if d is None else d)
     out = []
     for (d, _), x in zip(rows, split, strict=True):
         gone = [False] * len(x)
@@ -58,3 +58,52 @@ def test_levels_at_most_double():
     for w in (13, 50, 100):
         ladder = levels(w)
         assert ladder[-1] == w and all(b <= 2 * a for a, b in zip(ladder, ladder[1:], strict=False))
+
+
+def test_null_ids_and_colliding_hashes(spark):
+    """1,000 rows with a null id, and pairs of different texts with one 32-bit hash under a null and under one id."""
+    import xxhash
+
+    seen, pairs, i = {}, [], 0
+    while len(pairs) < 2:
+        t = " ".join(f"w{i}x{k}" for k in range(1 + i % 20))
+        h = xxhash.xxh64_intdigest(t.encode()) & 0xFFFFFFFF
+        if h in seen and len(seen[h]) != len(t):
+            pairs.append((seen[h], t))
+        seen[h], i = t, i + 1
+    rng = random.Random(8)
+    base = " ".join(f"b{k}" for k in range(60))
+    rows = [(None, f"n{i} {' '.join(base.split()[i % 40 : i % 40 + 20])} {rng.random()}" if i % 3 else f"only {i}") for i in range(1000)]
+    rows += [(None, t) for p in pairs for t in p] + [(9, t) for p in pairs for t in p] + [(2**63 - 1, base), (5, base), (2**63 - 1, base[3:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substring_dedup(docs).collect()
+    assert order([(r.id, r.n_words, r.n_removed, r.kept_sha256) for r in got]) == order(brute_nulls(rows, 13))
+
+
+def brute_nulls(rows, w):
+    """As brute, but a null id comes after the largest id too."""
+    return [(None if d == 2**70 else d, *x) for d, *x in brute([(2**70 if d is None else d, t) for d, t in rows], w)]
+
+
+def test_oracle_meets_the_operator(spark):
+    import duckdb
+
+    from lodestone.llm.substring import ORACLE, op4_substring_dedup
+
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{at}/documents.parquet'")
+    want = con.execute(f"select doc_id, n_words, n_removed, kept_sha256 from ({ORACLE})").fetchall()
+    assert order([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in op4_substring_dedup(spark, at).collect()]) == order(want)
+
+
+def test_second_hash_tells_words_apart():
+    import numpy as np
+
+    from lodestone.llm.common import Words
+
+    rng = random.Random(12)
+    words = [bytes(rng.choices(b"ab", k=rng.randrange(1, 12))) for _ in range(3000)]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    h = Words(data, np.array([0, len(data)])).second()
+    assert len(h) == len(words) and len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from lodestone.llm.langid import remainder
 from lodestone.llm.toxicity import Matcher, Model, Trie, fit, quoted, score, train
 
@@ -46,7 +48,7 @@ def test_learns_terms_and_stems(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic double")
     labels = spark.createDataFrame([(i, int(i < 200)) for i in range(800)] + [(0, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     model = train(docs.drop("toxic"), labels, remainder("doc_id", 5) != 0)
-    out = score(docs, model).collect()
+    out = score(docs, model).select("row.*", "score").collect()
     assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
     wrong = [r for r in out if r.doc_id is not None and r.doc_id < 800 and (r.score >= 0.5) != (r.doc_id < 200)]
     assert len(wrong) <= 4
@@ -58,6 +60,23 @@ def test_held_out_accuracy(spark):
     at = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
     held = remainder("doc_id", 5) == 0
-    out = score(docs.where(held).join(labels.select("doc_id", "toxic"), "doc_id").select("doc_id", "toxic", "text"), train(docs, labels, ~held)).collect()
+    out = score(docs.where(held).join(labels.select("doc_id", "toxic"), "doc_id").select("doc_id", "toxic", "text"), train(docs, labels, ~held)).select("row.*", "score").collect()
     right = sum((r.score >= 0.5) == (r.toxic == 1) for r in out)
     assert right >= 0.97 * len(out) and sum(r.score >= 0.5 for r in out if r.toxic == 1) >= 0.8 * sum(r.toxic for r in out)
+
+
+def test_ties_and_clashing_names(spark):
+    toxic = [f"grobbit skelfer drabz{i} w{i}" for i in range(30)]
+    clean = [f"green river stone w{i} v{i}" for i in range(60)]
+    rows = [(i, t, 1.0, "h", i) for i, t in enumerate([*toxic, *clean])] + [(7, toxic[7], 2.0, "g", 1)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, held_out string, row int")
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(90)], "doc_id long, toxic int")
+    out = score(docs, train(docs, labels, F.lit(True)))
+    assert out.columns == ["row", "score"] and out.select("row.*").columns == docs.columns
+    again = out.where("row.doc_id = 7").collect()
+    assert len(again) == 4 and len({r.score for r in again}) == 1 and sorted(r.row.score for r in again) == [1.0, 2.0, 2.0, 2.0]
+
+
+def test_a_long_word_matches_the_stem_it_begins_with():
+    m = Matcher(Trie({}, {"grob": 0.5}))
+    assert m("grob" + "x" * 500) == (0.5, 0) and m("x" * 500) is None
