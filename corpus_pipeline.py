@@ -16,8 +16,8 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what is of no language (und) or more likely not of the predicted one; fills in missing lang values."""
     model = langid.train(docs, langid.remainder("doc_id", 4) != 2)
-    out = langid.identify(docs, model, prefix="_").where((F.col("_lang_pred") != langid.UNDETERMINED) & (F.col("_score") >= 0.5))
-    return out.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*docs.columns)
+    out = langid.identify(docs, model).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= 0.5))
+    return out.select(*[(F.coalesce("row.lang", "lang_pred") if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
