@@ -49,7 +49,8 @@ def match_key(c: Column) -> Column:
     return nfkc(F.lower(F.regexp_replace(c, rules.SPACE, "")))
 
 
-def _match_keys(parts: Column) -> Column:
+def match_keys(parts: Column) -> Column:
+    """match_key of each element."""
     return nfkc_each(F.transform(parts, lambda p: F.lower(F.regexp_replace(p, rules.SPACE, ""))))
 
 
@@ -67,7 +68,7 @@ def split_collab(df, col: str, out: str = "parts"):
     """df with the array of a credit's components, whole first, one for each match key, in a column out."""
     numbered = "transform(_p, (p, i) -> struct(p AS p, _k[i] AS k, i AS i))"
     firsts = f"transform(filter({numbered}, x -> x.k <> '' AND array_position(_k, x.k) = x.i + 1), x -> x.p)"
-    keyed = df.withColumn("_p", collab_parts(F.col(col))).withColumn("_k", _match_keys(F.col("_p")))
+    keyed = df.withColumn("_p", collab_parts(F.col(col))).withColumn("_k", match_keys(F.col("_p")))
     return keyed.withColumn(out, F.expr(firsts)).drop("_p", "_k")
 
 
@@ -119,8 +120,9 @@ def source_rank(slug: Column, order: tuple[str, ...] | None = None) -> Column:
 
 
 def number_cell(lines: Column, digits: int) -> Column:
-    """A vendor's number from a cell's lines; null if there is none, more than one, or one with too many digits."""
-    clean = F.filter(F.transform(lines, lambda v: trim(F.regexp_replace(v, "[\\x{A0}\\x{202F}\\x{2007}]", " "))), lambda v: ~v.isin("", "-", "–", "—", "−"))
+    """A vendor's number from a cell's lines; null if there is none, more than one, or one with too many digits,
+    and for a cell that is too long to be read (null)."""
+    clean = F.filter(F.transform(lines, lambda v: trim(F.regexp_replace(v, "[\\x{A0}\\x{202F}\\x{2007}\\x{200B}]", " "))), lambda v: ~v.isin("", "-", "–", "—"))
     only = F.try_element_at(clean, F.lit(1))
     return F.when((F.size(clean) == 1) & ~(only.rlike("^[0-9]+$") & (F.length(only) > digits)), only)
 

@@ -60,8 +60,9 @@ def resolve(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = mapped.where("n > 1").select(F.col("alias_key").alias("_key"), F.lit(True).alias("_collides"))
     own = known.select(F.col("canonical_key").alias("_key"), F.col("known").alias("_own"))
     target = known.select(F.col("canonical_key").alias("_to"), F.col("canonical").alias("_canonical"), F.col("known").alias("_known"))
-    j = split.join(one, "_key", "left").join(several, "_key", "left").join(own, "_key", "left").join(target, "_to", "left")
-    j = stage(j, "alias-joined")
+    # what is known of a name is put together first: all by the name's key, so the rows join once
+    told = one.join(target, "_to", "left").drop("_to").join(several, "_key", "full_outer").join(own, "_key", "full_outer")
+    j = stage(split.join(told, "_key", "left"), "alias-joined")
     free = ~F.col("_odd") & (F.col("_key") != "") & F.col("_collides").isNull()
     is_own = free & F.col("_own").isNotNull()
     rewrites = free & F.col("_own").isNull() & F.col("_canonical").isNotNull()

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules
-from lodestone.functions.text import nfkc
+from lodestone.functions.text import media_context, nfkc
+from lodestone.operators.joins import left_spread
 
 
 def upsert(rows: DataFrame, incoming: DataFrame, key: str, patched: Sequence[str], order: str) -> DataFrame:
@@ -19,7 +20,8 @@ def upsert(rows: DataFrame, incoming: DataFrame, key: str, patched: Sequence[str
     """
     first = incoming.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*[c for c in incoming.columns if c != key]), order).alias("_new"))
     last = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(order).alias("_last"))
-    j = rows.join(last, key, "left").join(first, key, "left")
+    # most rows may have no key: they are dealt by their place, not sent to one task
+    j = left_spread(left_spread(rows, last, key, [order]), first, key, [order])
     hit = F.col("_new").isNotNull() & (F.col(order) == F.col("_last"))
     kept = j.select(*[F.when(hit & F.col(f"_new.{c}").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in patched else F.col(c) for c in rows.columns])
     new = first.join(last, key, "left_anti").select(key, "_new.*")
@@ -45,13 +47,37 @@ def manual_fixes(rows: DataFrame, fixes: DataFrame, id_col: str, title: str, tar
     return j.select(id_col, F.when(F.col("_id").isNull(), "not_found").when(same, "applied").otherwise("mismatch").alias("outcome"))
 
 
-def title_ko_rule(row_id: Column, title_ko: Column, source: Column, media: Column) -> tuple[Column, Column]:
-    """(title_ko, source) after the first stage: rows of tj and tjpdf keep a title_ko of a trusted source only;
-    rows of blog with one get the source blog."""
+def apply_fixes(rows: DataFrame, fixes: DataFrame, id_col: str, title: str, target: str, source: str, confidence: str, order: str) -> DataFrame:
+    """Rows with the fixes applied: target is the fix's, the source is manual, the confidence goes, all else stays.
+    A fix whose title isn't the row's (in compatibility form) changes nothing; of several rows of an id the last one is
+    fixed, of several fixes of an id the one whose target comes last by its text counts."""
+    f = fixes.select(F.col(id_col).alias("_id"), F.col(title).alias("_title"), F.col(target).alias("_target")).groupBy("_id", "_title").agg(F.max("_target").alias("_target"))
+    last = rows.groupBy(F.col(id_col).alias("_lid")).agg(F.max(order).alias("_last"))
+    j = rows.join(last, F.col(id_col) == F.col("_lid"), "left").join(f, (F.col(id_col) == F.col("_id")) & (nfkc(F.col(title)) == nfkc(F.col("_title"))), "left")
+    ok = F.col("_id").isNotNull() & (F.col(order) == F.col("_last"))
+    new = {target: F.col("_target"), source: F.lit("manual"), confidence: F.lit(None)}
+    return j.select(*[F.when(ok, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns])
+
+
+def fix_one(rows: DataFrame, id_col: str, one: str, target: str, value: str, source: str, confidence: str) -> DataFrame:
+    """Rows with one record's target set by hand; a record that isn't there, or twice, is an error."""
+    n = rows.where(F.col(id_col) == one).limit(2).count()
+    if n != 1:
+        raise ValueError(f"record not found: {one}" if not n else f"duplicate record_id: {one}")
+    new = {target: F.lit(value), source: F.lit("manual"), confidence: F.lit(None)}
+    return rows.select(*[F.when(F.col(id_col) == one, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns])
+
+
+def title_ko_rule(row_id: Column, title_ko: Column, source: Column, media: Column, confidence: Column) -> dict[str, Column]:
+    """title_ko, source, media context and confidence after the first stage. Rows of tj and tjpdf keep a title_ko of a
+    trusted source only; else its media context in parentheses is saved, and the title, source and confidence go. Rows
+    of blog with a title_ko and no source get the source blog."""
     slug = F.substring_index(row_id, "-", 1)
-    trusted = source.isin("llm-translated", "manual", "blog")
-    vendor = slug.isin("tj", "tjpdf") & ~F.coalesce(trusted, F.lit(False))
-    return F.when(vendor, F.lit(None)).otherwise(title_ko), F.when(vendor, F.lit(None)).when((slug == "blog") & title_ko.isNotNull() & source.isNull(), "blog").otherwise(source)
+    trusted = F.coalesce(source.isin("llm-translated", "manual", "blog"), F.lit(False))
+    vendor = slug.isin("tj", "tjpdf") & ~trusted
+    own = (slug == "blog") & (F.coalesce(title_ko, F.lit("")) != "") & (F.coalesce(source, F.lit("")) == "")
+    gone = lambda c: F.when(vendor, F.lit(None)).otherwise(c)
+    return {"title_ko": gone(title_ko), "source": F.when(own, "blog").otherwise(gone(source)), "media": F.when(vendor, F.coalesce(media_context(title_ko), media)).otherwise(media), "confidence": gone(confidence)}
 
 
 def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
@@ -91,12 +117,13 @@ def retag(row_id: Column, categories: Column, posts: dict[str, str] = rules.POST
     return F.when(to.isNotNull() & F.array_contains(categories, "vocaloid"), F.array(to)).otherwise(categories)
 
 
-def replay_gate(before: DataFrame, after: DataFrame, most: int = 1000) -> DataFrame:
-    """(before, after, delta, verdict): fewer records than before are a collapse; too many, or a gain, stop."""
+def replay_gate(before: DataFrame, after: DataFrame, most: int = 1000, rewrites: int = 0) -> DataFrame:
+    """(before, after, delta, verdict): more records than before are fatal, too many fewer stop the replay, and none
+    fewer means that there is nothing to do, unless names were rewritten."""
     both = before.select(F.lit(1).alias("b"), F.lit(0).alias("a")).union(after.select(F.lit(0), F.lit(1)))
     j = both.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("before"), F.coalesce(F.sum("a"), F.lit(0)).alias("after"))
     delta = F.col("before") - F.col("after")
-    return j.withColumn("delta", delta).withColumn("verdict", F.when(delta < 0, "fatal").when(delta > most, "abort").when(delta == 0, "no-op").otherwise("ok"))
+    return j.withColumn("delta", delta).withColumn("verdict", F.when(delta < 0, "fatal").when(delta > most, "abort").when((delta == 0) & F.lit(not rewrites), "no-op").otherwise("ok"))
 
 
 def quality_gate(rows: DataFrame, spill: Column, same: Column) -> DataFrame:

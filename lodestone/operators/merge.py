@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import rules
 from lodestone.functions.text import exclusive, has_guest, identity_key, lead, source_rank, source_slug, split_collab
 from lodestone.operators.components import components
+from lodestone.operators.joins import left_spread
+from lodestone.operators.ordered import numbered as number_by_ranges
 from lodestone.operators.staging import stage
 
 
@@ -65,10 +67,11 @@ def clusters(rows: DataFrame) -> DataFrame:
     sizes = base.groupBy("comp").agg(F.count("*").alias("size"))
     base = base.join(sizes, "comp")
     b = _grouped(base.where("size = 1"), "key_b").withColumnRenamed("least", "least_b")
-    with_b = base.join(b, "key_b", "left").withColumn("least_b", F.when(F.col("size") == 1, F.col("least_b")))
+    with_b = left_spread(base, b, "key_b", ["seq"]).withColumn("least_b", F.when(F.col("size") == 1, F.col("least_b")))
     with_b = stage(with_b, "merge-b")
     c = _grouped(with_b.where("size = 1 AND least_b IS NULL"), "key_c", gate()).withColumnRenamed("least", "least_c")
-    out = with_b.join(c, "key_c", "left").withColumn("least_c", F.when((F.col("size") == 1) & F.col("least_b").isNull(), F.col("least_c")))
+    # most rows have no key_c of use; those without one are dealt by seq
+    out = left_spread(with_b, c, "key_c", ["seq"]).withColumn("least_c", F.when((F.col("size") == 1) & F.col("least_b").isNull(), F.col("least_c")))
     tier = F.when(F.col("size") > 1, "A").when(F.col("least_b").isNotNull(), "B").when(F.col("least_c").isNotNull(), "C")
     return out.withColumns({"cluster": F.coalesce("least_b", "least_c", "comp"), "tier": tier}).drop("comp", "size", "least_b", "least_c")
 
@@ -154,13 +157,26 @@ def headline(found: DataFrame) -> DataFrame:
     return found.where("field <> 'tier_c_merge'")
 
 
+def numbered(records: DataFrame, out: str = "place") -> DataFrame:
+    """O1 as a column: each record's place in the final order, numbered by ranges."""
+    keyed = records.withColumns({"_none": F.col("tj").isNull(), "_title": identity_key(F.col("title_primary"))})
+    return number_by_ranges(keyed, ["_none", "tj", "_title", "id"], out).drop("_none", "_title")
+
+
 def ordered(records: DataFrame) -> DataFrame:
     """O1: by TJ number (as text, missing last), then the title's key, then id."""
     return records.orderBy(F.col("tj").asc_nulls_last(), identity_key(F.col("title_primary")), "id")
 
 
-def summary(found: DataFrame, sample: int = rules.CONFLICT_SAMPLE) -> DataFrame:
-    """K2: the headline total beside a bounded sample of all conflicts."""
+def summary(found: DataFrame, clashes: DataFrame | None = None, sample: int = rules.CONFLICT_SAMPLE, alias_sample: int = rules.ALIAS_SAMPLE) -> DataFrame:
+    """The headline total beside a bounded sample of all conflicts, and with the alias conflicts (alias,
+    canonicals, affected) their total and a smaller sample."""
     top = found.orderBy("cluster_key", "field").limit(sample).select(F.lit(0).alias("n"), F.struct("cluster_key", "field", "winner").alias("s"))
     both = headline(found).groupBy().agg(F.count("*").alias("n")).select("n", F.lit(None).cast(top.schema["s"].dataType).alias("s")).union(top)
-    return both.agg(F.sum("n").alias("total"), F.array_sort(F.collect_list("s")).alias("sample"))
+    out = both.agg(F.sum("n").alias("total"), F.array_sort(F.collect_list("s")).alias("sample"))
+    if clashes is None:
+        return out
+    first = clashes.orderBy("alias", "affected").limit(alias_sample).select(F.lit(0).alias("n"), "alias")
+    total = clashes.groupBy().agg(F.count("*").alias("n")).select("n", F.lit(None).cast("string").alias("alias")).union(first)
+    one = total.agg(F.sum("n").alias("alias_total"), F.array_sort(F.collect_list("alias")).alias("alias_sample"))
+    return out.withColumn("_one", F.lit(1)).join(one.withColumn("_one", F.lit(1)), "_one").drop("_one")

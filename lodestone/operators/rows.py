@@ -41,6 +41,12 @@ def bilingual(primary: Column, ko: Column) -> Column:
     return F.when(both, F.concat_ws(" — ", primary, ko)).otherwise(F.coalesce(primary, ko, F.lit("—")))
 
 
+def title_display(title: Column, title_ko: Column, media: Column) -> Column:
+    """The titles, and the media context unless the Korean title has it."""
+    shown = (F.coalesce(media, F.lit("")) != "") & ~F.coalesce(title_ko, F.lit("")).contains(F.coalesce(media, F.lit("")))
+    return F.when(shown, F.concat_ws(" ", bilingual(title, title_ko), media)).otherwise(bilingual(title, title_ko))
+
+
 def artist_display(primary: Column, aliases: Column) -> Column:
     """The name, with its aliases in parentheses."""
     return F.when(F.size(F.coalesce(aliases, F.array().cast("array<string>"))) > 0, F.concat(primary, F.lit(" ("), F.array_join(aliases, ", "), F.lit(")"))).otherwise(primary)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import identity_key
+from lodestone.operators.staging import stage
 
 #: Field boosts and the share of a term's letters that may differ.
 BOOSTS, FUZZY = {"title": 3.0, "artist": 2.0}, 0.2
@@ -16,13 +17,16 @@ K1, B = 1.2, 0.75
 PREFIX_WEIGHT, FUZZY_WEIGHT = 0.375, 0.45
 
 
-def postings(rows: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
-    """Q1: (id, field, term, tf, length): terms are identity keys of the words of a field; array fields count as one."""
+def postings(rows: DataFrame, id_col: str, fields: Sequence[str], term: Callable[[Column], Column] = identity_key) -> DataFrame:
+    """Q1: (id, field, term, tf, length): terms are the keys that term makes (X3) of the words of a field; array fields
+    count as one. The table is staged: a search reads it several times."""
     parts = [F.struct(F.lit(f).alias("field"), (F.concat_ws(" ", f) if rows.schema[f].dataType.typeName() == "array" else F.col(f)).alias("text")) for f in fields]
     words = rows.select(F.col(id_col).alias("id"), F.explode(F.array(*parts)).alias("e")).select("id", "e.field", F.explode(F.split("e.text", "[\\s\\p{P}\\p{Z}]+")).alias("word"))
-    terms = words.withColumn("term", identity_key(F.col("word"))).where("term <> ''").groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
-    length = terms.groupBy("id", "field").agg(F.sum("tf").alias("length"))
-    return terms.join(length, ["id", "field"])
+    # equal words of a field are counted before their key is made
+    counted = words.groupBy("id", "field", "word").agg(F.count("*").alias("n"))
+    terms = counted.withColumn("term", term(F.col("word"))).where("term <> ''").groupBy("id", "field", "term").agg(F.sum("n").alias("tf"))
+    length = Window.partitionBy("id", "field")
+    return stage(terms.withColumn("length", F.sum("tf").over(length)), "postings")
 
 
 def field_stats(index: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ from lodestone.functions.text import identity_key
 from lodestone.operators import aliases, changes, merge, search, validate
 from lodestone.operators.ordered import numbered
 from lodestone.operators.staging import stage
+from lodestone.plans.crawls import chosen
 from lodestone.sources.json_sources import read_records
+from lodestone.sources.sinks import write_json_array
 
 
 def concatenate(sources: list[DataFrame]) -> DataFrame:
@@ -44,15 +46,32 @@ def browse(records: DataFrame, index: DataFrame, text: str, category: str = "all
 
 
 def main(argv: list[str] | None = None) -> None:
-    p = argparse.ArgumentParser(description="Merge record files (JSON arrays) into one Parquet table.")
-    p.add_argument("sources", nargs="+", help="JSON files, the first ones first in order")
+    p = argparse.ArgumentParser(description="Merge record files (JSON arrays) and registered sources into one Parquet table.")
+    p.add_argument("files", nargs="*", help="JSON files, the first ones first in order")
+    p.add_argument("--source", default="", help="names of registered sources, with commas; they come after the files")
+    p.add_argument("--limit", type=_natural, default=0, help="records of each source at most; 0: all")
     p.add_argument("--out", required=True)
+    p.add_argument("--conflicts-out", help="where the summary of the conflicts goes, one JSON document")
     args = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    records, conflicts, clashes = resolve_and_merge([read_records(spark, s) for s in args.sources])
+    names = [n.strip() for n in args.source.split(",") if n.strip()]
+    tables = [read_records(spark, s) for s in args.files] + [s(spark) for s in (chosen(names) if names else [])]
+    if not tables:
+        p.error("no file and no source is given")
+    if args.limit:
+        tables = [x.orderBy("seq").limit(args.limit) for x in tables]
+    records, conflicts, clashes = resolve_and_merge(tables)
     merge.ordered(records).write.mode("overwrite").parquet(f"{args.out}/records")
     conflicts.write.mode("overwrite").parquet(f"{args.out}/conflicts")
     clashes.write.mode("overwrite").parquet(f"{args.out}/alias_conflicts")
+    if args.conflicts_out:
+        write_json_array(merge.summary(conflicts, clashes), args.conflicts_out)
+
+
+def _natural(text: str) -> int:
+    if (n := int(text)) < 0:
+        raise argparse.ArgumentTypeError("a non-negative integer is needed")
+    return n
 
 
 if __name__ == "__main__":

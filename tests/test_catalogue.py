@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.operators import aliases, changes, classify, merge, ordered, search, validate
-from lodestone.sources import html_sources, json_sources, lines, sinks
+from lodestone.sources import html_sources, json_sources, sinks
 from lodestone.streaming import arrivals
 
 COLS = "seq long, id string, source_url string, title_primary string, title_ko string, artist_primary string, artist_ko string, artist_aliases array<string>, tj string, ky string, joysound string, categories array<string>, crawled_at string, media_context_ko string, title_ko_source string, title_ko_confidence string"
@@ -202,17 +202,10 @@ def test_json_sources(spark, tmp_path):
 def test_html_sources(spark):
     page = "<a href='/12'>Artist</a><a href='/13'>TOP 100</a><a href='/12'>again</a><table><tr><td>Title<br>제목<td>123<td>1<br>2<td>-</tr><tr><td><td>1<td>2<td>3</tr><tr><td>x</td></tr></table>"
     pages = spark.createDataFrame([(1, page), (2, None)], "id long, html string")
-    assert [(r.href, r.pos) for r in html_sources.index_paths(html_sources.links(pages, "id", "html")).collect()] == [("/12", 0)]
+    assert [(r.path, r.pos) for r in html_sources.index_paths(html_sources.links(pages, "id", "html")).collect()] == [("/12", 0)]
     assert [tuple(r) for r in html_sources.song_rows(html_sources.table_rows(pages, "id", "html")).collect()] == [(1, 0, "Title", "제목", "123", None, None)]
 
 
-def test_lines(spark):
-    book = ["VOCALOID", "ゴースト ルール    52001    DECO*27", "고스트 룰    데코", "", "Second Song    52002    Someone", "ゴースト    52001    Again"]
-    df = spark.createDataFrame([("b", i, x) for i, x in enumerate(book)], "book string, line_no long, line string")
-    got = [(r.tj, r.title, r.artist, r.title_ko, r.artist_ko, r.section) for r in lines.parse(df, ["book"]).orderBy("line_no").collect()]
-    assert got == [("52001", "ゴースト ルール", "DECO*27", "고스트 룰", "데코", "vocaloid"), ("52002", "Second Song", "Someone", None, None, "vocaloid")]
-
-
 def test_validation(spark):
     good = record(0, "tj-1")
     rows = [good, good | {"id": "TJ_1"}, good | {"title_ko_confidence": "high", "title_ko_source": "blog"}, good | {"categories": ["jpop", "anime"], "title_primary": ""}]
@@ -241,3 +234,41 @@ def test_interleave_numbers_a_bucket_in_several_tasks(spark):
         own = sorted((r.id, r.turn) for r in out if r.side is side)
         assert [n for _, n in own] == list(range(1, len(own) + 1))
     assert len(own) == 400 and len({r.task for r in out if r.side is True}) > 1
+
+
+def test_article_body_and_long_cells(spark):
+    body = "<div class='menu'><table><tr><td>a<td>1<td>2<td>3</table></div><div class='a body'><blockquote><p>가수<br>Name</p><p>x</p></blockquote><div>{}</div></div><table><tr><td>b<td>1<td>2<td>3</table>"
+    row = "<table><tr><td>TJ<td>TJ<td>KY<td>JOYSOUND</tr><tr><td><b>T</b><br>제목<td>{}<td>7777777<td>7777777</tr></table>"
+    pages = spark.createDataFrame([(1, body.format(row.format("12"))), (2, body.format(row.format("1" * 70000 + "<br>5"))), (3, "<div>no body</div>"), (4, "<div class=body><table><tr><td>x<td>1<td>2<td>3</table></div>"), (5, None)], "id long, html string")
+    got = sorted(tuple(r) for r in html_sources.artist_pages(pages, "id", "html", "body").collect())
+    assert [g[:5] for g in got] == [(1, 1, "T", "제목", "12"), (2, 1, "T", "제목", None)]
+    assert {g[-2:] for g in got} == {("Name", "가수")} and {g[5:7] for g in got} == {(None, "7777777")}
+
+
+def test_single_fix_and_sources(spark):
+    from lodestone.plans import crawls
+
+    rows = spark.createDataFrame([("1", "a"), ("2", "b"), ("2", "c")], "id string, ko string").withColumns({"src": F.lit("x"), "conf": F.lit("high")})
+    assert sorted(tuple(r) for r in changes.fix_one(rows, "id", "1", "ko", "new", "src", "conf").collect())[0] == ("1", "new", "manual", None)
+    for bad, message in (("2", "duplicate"), ("9", "not found")):
+        with pytest.raises(ValueError, match=message):
+            changes.fix_one(rows, "id", bad, "ko", "new", "src", "conf")
+    crawls.source("given")(lambda s: rows)
+    assert [f(spark) for f in crawls.chosen(["given"])] == [rows]
+    with pytest.raises(ValueError, match="unknown source"):
+        crawls.chosen(["nobody"])
+
+
+def test_blog_crawl_stops_below_its_floor(spark):
+    from lodestone.plans import crawls
+
+    links = "".join(f"<a href='/{i}'>{i}</a>" for i in range(1, 11))
+    index = spark.createDataFrame([(0, "/98", "jpop", 200, links)], "index int, path string, category string, status int, html string")
+    page = "<blockquote><p>A</p></blockquote><table><tr><td>t<td>1<td>2<td>3</table>"
+    pages = lambda n: spark.createDataFrame([(f"/{i}", 200 if i <= n else 503, page) for i in range(1, 11)], "path string, status int, html string")
+    assert crawls.blog_crawl(index, pages(9), "now").count() == 9
+    assert sorted(r.id for r in crawls.blog_crawl(index, pages(3), "now", limit=3).collect()) == ["blog-1-0", "blog-2-0", "blog-3-0"]
+    with pytest.raises(ValueError, match="8 of 10"):
+        crawls.blog_crawl(index, pages(8), "now")
+    with pytest.raises(ValueError, match="status 500"):
+        crawls.blog_crawl(index.withColumn("status", F.lit(500)), pages(9), "now")

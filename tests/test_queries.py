@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from lodestone.plans import feeds  # noqa: F401
 from lodestone.plans.catalogue import ORACLES, QUERIES
 
 AT = "/root/testdata/sf0.001"
