@@ -347,7 +347,9 @@ def row_key(id_col: str, text: Column) -> tuple[Column, Column]:
     part = lambda at: F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
     null = F.col(f"`{id_col}`").isNull()
     id_ = F.when(null, part(17)).otherwise(F.col(f"`{id_col}`").cast("long"))
-    return id_, F.shiftleft(F.shiftright(part(1), 1), 1).bitwiseOR(null.cast("long"))
+    th = F.shiftleft(F.shiftright(part(1), 1), 1).bitwiseOR(null.cast("long"))
+    # never null, and the planner knows it: else its joins would filter nulls out on one side and shuffle texts twice
+    return F.coalesce(id_, F.lit(0).cast("long")), F.coalesce(th, F.lit(0).cast("long"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
