@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import changes, classify, enrich, favourites, merge, ordered, rows, search
+from lodestone.operators import changes, classify, enrich, favourites, merge, ordered, rows, search, validate
 from lodestone.operators.staging import shared_dir, stage
 from lodestone.plans import crawls, jobs
 from lodestone.plans.catalogue import KEY, MATCH, RECS, query, recs, t
@@ -299,6 +299,31 @@ def title_ko_first_stage(spark, at):
     return r.select("seq", *[c.alias(n) for n, c in out.items()])
 
 
+@query("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM documents")
+def stage_again(spark, at):
+    """The first title stage changes nothing that it has been through."""
+    once = recs(spark, at)
+    new = lambda df: df.withColumns(dict(zip(("title_ko", "title_ko_source", "media_context_ko", "title_ko_confidence"), changes.title_ko_rule(F.col("id"), F.col("title_ko"), F.col("title_ko_source"), F.col("media_context_ko"), F.col("title_ko_confidence")).values(), strict=True)))
+    fields = F.struct("title_ko", "title_ko_source", "media_context_ko", "title_ko_confidence")
+    one = new(once)
+    two = new(one.withColumn("before", fields))
+    return two.agg(F.count("*").alias("rows"), F.count_if(~fields.eqNullSafe(F.col("before"))).alias("changed"))
+
+
+VALID = """SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN concat('tj-', c_custkey) ELSE concat('TJ-', c_custkey) END AS id, CASE WHEN c_custkey % 3 = 0 THEN 'nowhere' ELSE 'https://x/1' END AS source_url,
+  CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS title_primary, c_name AS artist_primary, CASE WHEN c_custkey % 7 = 0 THEN '' END AS title_ko, CAST(NULL AS VARCHAR) AS artist_ko, '2026-01-01T00:00:00Z' AS crawled_at,
+  CASE WHEN c_custkey % 11 = 0 THEN 'OST' WHEN c_custkey % 11 = 1 THEN '(OST)' END AS media_context_ko, CASE c_custkey % 4 WHEN 0 THEN 'blog' WHEN 1 THEN 'llm-translated' WHEN 2 THEN 'who' END AS title_ko_source, CASE WHEN c_custkey % 3 = 1 THEN 'high' WHEN c_custkey % 3 = 2 THEN 'sure' END AS title_ko_confidence,
+  CASE WHEN c_custkey % 13 = 0 THEN 'rock' ELSE 'jpop' END AS category FROM customer"""
+
+
+@query("""SELECT k, unnest(list_filter([CASE WHEN k % 2 = 1 THEN 'id must match pattern' END, CASE WHEN k % 3 = 0 THEN 'source_url must be a uri' END, CASE WHEN k % 5 = 0 THEN 'title_primary must not be empty' END, CASE WHEN k % 7 = 0 THEN 'title_ko must not be empty' END,
+  CASE WHEN k % 13 = 0 THEN 'categories must be exactly one' END, CASE WHEN k % 11 = 0 THEN 'media_context_ko must match pattern' END, CASE WHEN k % 4 = 2 THEN 'title_ko_source must be known' END, CASE WHEN k % 3 = 2 THEN 'title_ko_confidence must be known' END,
+  CASE WHEN k % 3 <> 0 AND k % 4 <> 1 THEN 'title_ko_confidence needs llm-translated' END], lambda x: x IS NOT NULL)) AS error FROM (SELECT c_custkey AS k FROM customer)""")
+def record_validation(spark, at):
+    r = sql(spark, at, VALID).withColumns({"categories": F.array("category"), "artist_aliases": F.array("id", "artist_primary")})
+    return r.select("k", F.explode(validate.record_errors()).alias("error"))
+
+
 FIXES = "SELECT CAST(c_custkey * 2 AS VARCHAR) AS id, CASE WHEN c_custkey % 3 = 0 THEN 'other' ELSE concat('t', c_custkey * 2) END AS title, concat('ko', c_custkey) AS ko FROM customer"
 FIXED = "SELECT c_custkey AS seq, CAST(c_custkey AS VARCHAR) AS id, concat('t', c_custkey) AS title, c_mktsegment AS ko, 'llm-translated' AS src, 'high' AS conf FROM customer"
 
