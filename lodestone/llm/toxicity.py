@@ -18,6 +18,8 @@ from lodestone.llm.langid import remainder
 
 #: The bounded training sample: of each label the documents with the smallest hashes, of those up to so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 4000, 100_000
+#: And of these, in that order, as many as fit into so many bytes, so that the driver holds a bounded sample.
+SAMPLE_BYTES = 64 << 20
 #: A term or stem needs so many toxic documents of the sample, and a rate in them so many times that in the others.
 LEAST_DOCS, TERM_TIMES, STEM_TIMES = 3, 30.0, 6.0
 #: The least weight of a term that fuzzy matching looks for.
@@ -261,14 +263,20 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
     return model
 
 
+def _fitting(picked: list) -> list:
+    total = np.cumsum([r.n for r in picked])
+    return [r for r, n in zip(picked, total, strict=True) if n <= SAMPLE_BYTES]
+
+
 def train(docs: DataFrame, labels: DataFrame, where) -> Model:
     """Fits on a bounded sample of the rows of docs that satisfy where and have a label; a document with both labels
     counts as toxic. Only the sample's texts come to the driver."""
     toxic = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where(where & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
     rows = rows.withColumn("at", spread("doc_id", "text"))
-    small = stage(rows.select("doc_id", "at").join(toxic.hint("merge"), "doc_id").select("at", "toxic").distinct(), "toxicity-labels")
-    picks = [smallest(small.where(F.col("toxic") == k), "at", SAMPLE_DOCS) for k in (1, 0)]
+    sized = rows.select("doc_id", "at", F.octet_length("text").alias("n"))
+    small = stage(sized.join(toxic.hint("merge"), "doc_id").select("at", "toxic", "n").distinct(), "toxicity-labels")
+    picks = [_fitting(smallest(small.where(F.col("toxic") == k), "at", SAMPLE_DOCS)) for k in (1, 0)]
     picked = docs.sparkSession.createDataFrame([(r.at, r.toxic) for p in picks for r in p], "at long, toxic int")
     got = rows.join(F.broadcast(picked), "at").dropDuplicates(["at"]).orderBy("at").select("toxic", "text").collect()
     return fit([r.text for r in got if r.toxic == 1], [r.text for r in got if r.toxic != 1])
