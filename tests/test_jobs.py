@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,3 +40,23 @@ def test_row_mappers(spark):
     got = df.select(rows.bilingual(F.col("p"), F.col("k")), rows.artist_display(F.col("p"), F.col("al")), name, korean, rows.database_date(F.col("d"), F.col("e"))).collect()
     assert [tuple(r) for r in got] == [("a — b", "a (x, y)", "Latin", "한", "1970-01-02"), ("b", None, "One", None, "2026-01-01"), ("a", "a", None, None, "")]
     assert spark.range(1).select(rows.iso_millis(F.timestamp_millis(F.lit(1500)))).first()[0] == "1970-01-01T00:00:01.500Z"
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from lodestone.operators import staging
+
+    conf = lambda **x: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: x.get(k.replace(".", "_"), d), set=lambda k, v: None))
+    for master in ("spark://x:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            staging.shared_dir(conf(spark_master=master))
+    assert staging.shared_dir(conf(spark_master="yarn", spark_checkpoint_dir="hdfs://a/b/")) == "hdfs://a/b"
+    kept = staging._staged[:]
+    staging._staged.clear()
+    at = staging.stage(spark.range(3), "t")
+    assert at.count() == 3
+    path = staging._staged[0]
+    staging.clear(spark)
+    assert not staging._staged and not os.path.exists(path.removeprefix("file://"))
+    staging._staged.extend(kept)
