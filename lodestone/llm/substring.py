@@ -68,10 +68,10 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at.tolist(), [*at[1:].tolist(), len(values)], strict=True))
 
 
-def _ask(buckets: int, hi, lo, doc, pos, ids, ths):
+def _ask(buckets: np.ndarray, hi, lo, doc, pos, ids, ths):
     """Rows of ASKED: one for each bucket that anything falls into, with its arrays, document by document."""
     rows: list[list] = [[] for _ in range(7)]
-    bucket = (hi % np.uint64(buckets)).astype(np.int64)
+    bucket = buckets[(hi % np.uint64(len(buckets))).astype(np.int64)]
     order = np.lexsort([pos, doc, bucket])
     bucket = bucket[order]
     for a, b in _runs(bucket):
@@ -141,7 +141,7 @@ def _groups(keys: list[np.ndarray], rank: np.ndarray):
     return order, rank[first][group], rank[np.r_[first[1:], len(order)] - 1][group]
 
 
-def _first_level(short: int, long: int, buckets: int):
+def _first_level(short: int, long: int, buckets: np.ndarray):
     """Asks which sampled short windows occur in two documents or more. What a batch shows repeated by itself is
     found at once; only the outermost ids of each such window still ask, so a passage of a third of all documents
     makes two rows a batch."""
@@ -184,9 +184,9 @@ PACKED = "dest int, ids binary, ths binary, sizes binary, vals binary"
 PACKED_TYPES = pa.schema([("dest", pa.int32()), *((x, pa.binary()) for x in ("ids", "ths", "sizes", "vals"))])
 
 
-def _address(dests: int, ids, ths, doc, values) -> pa.Table:
+def _address(dests: np.ndarray, ids, ths, doc, values) -> pa.Table:
     """One row for each destination that any of the documents falls to: the documents' keys, sizes and values."""
-    home = (mix(ids.view(np.uint64) + mix(ths.view(np.uint64))) % np.uint64(dests)).astype(np.int64)
+    home = dests[(mix(ids.view(np.uint64) + mix(ths.view(np.uint64))) % np.uint64(len(dests))).astype(np.int64)]
     order = np.lexsort([doc, home[doc]])
     doc, values = doc[order], values[order]
     rows: list[list] = [[] for _ in range(5)]
@@ -200,7 +200,7 @@ def _address(dests: int, ids, ths, doc, values) -> pa.Table:
     return pa.Table.from_arrays([pa.array(r, t.type) for r, t in zip(rows, PACKED_TYPES, strict=True)], schema=PACKED_TYPES)
 
 
-def _answer_repeated(dests: int):
+def _answer_repeated(dests: np.ndarray):
     """For a bucket: each document's windows that occur in two documents or more."""
 
     def run(table_: pa.Table) -> pa.Table:
@@ -212,7 +212,7 @@ def _answer_repeated(dests: int):
     return run
 
 
-def _answer_later(dests: int):
+def _answer_later(dests: np.ndarray):
     """For a bucket: each document's places of windows that a document with a smaller id has too."""
 
     def run(table_: pa.Table) -> pa.Table:
@@ -250,7 +250,7 @@ def _member(doc: np.ndarray, h: np.ndarray, own: list[list[bytes]]) -> np.ndarra
     return np.isin(h ^ salt(doc), (np.concatenate(told) if len(told) else np.zeros(0, np.uint64)) ^ salt(np.repeat(np.arange(len(n)), n)))
 
 
-def _next_level(short: int, long: int, sampled: bool, last: bool, buckets: int):
+def _next_level(short: int, long: int, sampled: bool, last: bool, buckets: np.ndarray):
     """Extends the windows found repeated at short to long, and asks about those. sampled: only each long window's
     least short window was asked about; else its first and its last. last: long is the length wanted, so the places
     asked for are those that a smaller id has, and a batch again settles what it can by itself."""
@@ -299,15 +299,40 @@ def _settle(both: DataFrame, answer, width: int) -> DataFrame:
     """
     asked = both.where("bucket IS NOT NULL").select("bucket", "hi", "lo", "doc", "pos", "ids", "ths")
     found = both.where("id IS NOT NULL").select("id", "th", "found")
-    told = asked.groupBy("bucket").applyInArrow(answer(partitions(both.sparkSession)), PACKED)
+    told = asked.groupBy("bucket").applyInArrow(answer(numbers(1, partitions(both.sparkSession))), PACKED)
     told = told.groupBy("dest").applyInArrow(_unpack(width), FOUND)
     return found.union(told).groupBy("id", "th").agg(F.collect_list("found").alias("found"))
 
 
-def bucket_count(rows: DataFrame, least: int) -> int:
+def _spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of integers (Murmur3 with seed 42), by which it deals out groups."""
+    u = np.uint32
+    turn = lambda v, n: (v << u(n)) | (v >> u(32 - n))
+    h = turn(u(42) ^ turn(x.astype(u) * u(0xCC9E2D51), 15) * u(0x1B873593), 13) * u(5) + u(0xE6546B64)
+    h ^= u(4)
+    h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+    h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+    return (h ^ (h >> u(16))).view(np.int32)
+
+
+def numbers(least: int, parts: int) -> np.ndarray:
+    """Group numbers, least of them or more, that Spark deals to its parts partitions equally many each."""
+    each = -(-least // parts)
+    some = np.arange(parts * (4 * each + 40), dtype=np.int32)
+    while True:
+        part = _spark_hash(some).astype(np.int64) % parts
+        order = np.argsort(part, kind="stable")
+        size = np.bincount(part, minlength=parts)
+        if size.min() >= each:
+            nth = np.arange(len(some)) - np.repeat(np.cumsum(size) - size, size)
+            return np.sort(some[order][nth < each])
+        some = np.arange(2 * len(some), dtype=np.int32)
+
+
+def bucket_numbers(rows: DataFrame) -> np.ndarray:
     """Buckets for the hashes of rows' texts: so many that each has those of about BUCKET_BYTES of text."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(least, -(-size // BUCKET_BYTES))
+    return numbers(max(1, -(-size // BUCKET_BYTES)), partitions(rows.sparkSession))
 
 
 def repeated(rows: DataFrame, window: int) -> DataFrame:
@@ -320,7 +345,7 @@ def repeated(rows: DataFrame, window: int) -> DataFrame:
     bytes of text, so a bucket's size doesn't grow with the corpus. Each level only narrows what the next one looks at;
     the last one compares 64 bits of one hash of the words' bytes and 32 of another that is made in another way.
     """
-    buckets = bucket_count(rows, partitions(rows.sparkSession))
+    buckets = bucket_numbers(rows)
     ladder = levels(window)
     out = _settle(rows.select("id", "th", "text").mapInArrow(_first_level(ladder[0], ladder[1], buckets), BOTH), _answer_repeated, 8)
     for i, long in enumerate(ladder[1:]):

@@ -107,3 +107,14 @@ def test_second_hash_tells_words_apart():
     data = np.frombuffer(b" ".join(words), np.uint8)
     h = Words(data, np.array([0, len(data)])).second()
     assert len(h) == len(words) and len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
+
+
+def test_buckets_are_dealt_evenly(spark):
+    from collections import Counter
+
+    from lodestone.llm.substring import numbers
+
+    for least, parts in ((1, 4), (9, 4), (500, 51), (3, 211)):
+        got = numbers(least, parts)
+        df = spark.createDataFrame([(int(x),) for x in got], "n int").selectExpr(f"pmod(hash(n), {parts}) AS p")
+        assert len(got) >= least and len(set(got.tolist())) == len(got) and set(Counter(r.p for r in df.collect()).values()) == {-(-least // parts)}
