@@ -33,7 +33,7 @@ WHOLE = 400.0
 #: Fuzzy terms have this length at least for one edit.
 FUZZY = 5
 #: Characters of the words that a worker keeps with what they match, and automaton steps kept; neither changes a result.
-CACHE_CHARS, CACHE_STEPS = 4 << 20, 400_000
+CACHE_CHARS, CACHE_STEPS = 12 << 20, 400_000
 #: Words to either side of a hit that decide what it is.
 WINDOW = 12
 OPEN, CLOSE, BOTH = "«“„‘‹([", "»”’›)]", "\"'"
@@ -295,7 +295,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for b in batches:
             out = np.array([model.score(t.as_py()) for t in column_of(b, text_col)], dtype=float)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["row", "score"])
-        model.matcher.clear()
 
     rows = docs.select(as_row(docs.columns))
     return rows.mapInArrow(freed(run), StructType([*rows.schema.fields, StructField("score", DoubleType())]))
