@@ -142,8 +142,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = near_duplicates(docs, id_col, text_col)
     first = F.struct(F.col("id").isNull().alias("null"), "id", "th")
-    best = found.groupBy("root").agg(F.min(first).alias("best")).select("best.id", "best.th").distinct()
+    # one key column that is never null: the join's partitioning then does for the repeated rows too
+    key = lambda th, id_: F.concat_ws(":", F.hex(th), id_)
+    best = found.groupBy("root").agg(F.min(first).alias("best")).select(key(F.col("best.th"), F.col("best.id")).alias("key"))
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_key(text).alias("th"), as_row(docs.columns)).alias("r")
-    kept = rows.join(best.alias("b"), F.expr("r.th = b.th AND r.id <=> b.id"), "left_semi")
-    return kept.dropDuplicates(["th", "id"]).select("row.*")
+    rows = docs.select(key(text_key(text), F.col(f"`{id_col}`").cast("long")).alias("key"), as_row(docs.columns))
+    return rows.join(best, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
