@@ -64,8 +64,9 @@ def cache_document(header: DataFrame, numbers: DataFrame, artists: DataFrame) ->
 
 
 def write_chunks(rows: DataFrame, chunk: str, path: str) -> None:
-    """K4: rows as JSON, a folder for each two-digit chunk number."""
-    rows.withColumn("_chunk", F.lpad(F.col(chunk).cast("string"), 2, "0")).repartition("_chunk").write.partitionBy("_chunk").json(path)
+    """K4: rows as JSON, a folder for each chunk number, of two digits at least (lpad alone would cut longer ones)."""
+    number = F.col(chunk).cast("string")
+    rows.withColumn("_chunk", F.lpad(number, F.greatest(F.lit(2), F.length(number)), "0")).repartition("_chunk").write.partitionBy("_chunk").json(path)
 
 
 def review_rows(decisions: DataFrame) -> DataFrame:

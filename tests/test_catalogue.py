@@ -272,3 +272,10 @@ def test_blog_crawl_stops_below_its_floor(spark):
         crawls.blog_crawl(index, pages(8), "now")
     with pytest.raises(ValueError, match="status 500"):
         crawls.blog_crawl(index.withColumn("status", F.lit(500)), pages(9), "now")
+
+
+def test_chunks_of_more_than_two_digits(spark, tmp_path):
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate((0, 9, 10, 99, 100, 101, 1005))], "id long, chunk long")
+    sinks.write_chunks(rows, "chunk", f"{tmp_path}/chunks")
+    assert sorted(p.name for p in (tmp_path / "chunks").glob("_chunk=*")) == ["_chunk=00", "_chunk=09", "_chunk=10", "_chunk=100", "_chunk=1005", "_chunk=101", "_chunk=99"]
+    assert sorted((r.id, r._chunk) for r in spark.read.json(f"{tmp_path}/chunks").collect()) == [(0, 0), (1, 9), (2, 10), (3, 99), (4, 100), (5, 101), (6, 1005)]
