@@ -105,7 +105,8 @@ def links(nodes: DataFrame, n: int, distance: int = 4) -> DataFrame:
     right = nodes.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*probes))).alias("e")).select("a", "e.seg", "e.key")
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & (F.col("a") < F.col("b"))
     at = (left.seg == right.seg) & (left.key == right.key)
-    return left.join(right, at & near).select("a", "b").distinct()
+    # the planner takes the exploded probes for as few as the codes; the hint keeps it from collecting them on the driver
+    return left.join(right.hint("merge"), at & near).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:

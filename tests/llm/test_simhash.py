@@ -82,3 +82,12 @@ def test_near_duplicates_edges(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [3, 7, 8]
     assert near_duplicates(docs.where(F.lit(False))).count() == 0
+
+
+def test_probes_are_never_broadcast(spark, tmp_path):
+    """A small file of codes makes many probes: they must not go to the driver, though the planner takes them for few."""
+    spark.range(1000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/nodes")
+    found = links(spark.read.parquet(f"{tmp_path}/nodes"), 1000)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
