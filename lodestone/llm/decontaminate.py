@@ -9,19 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import NOT_WORD, Words, chunks, fold, freed, smallest, spread, table
+from lodestone.llm.common import NOT_WORD, Words, chunks, fold, freed, table
 
 #: Items are searched for in blocks of about so many words, so what goes to the workers is bounded however many there are.
 #: Nothing but the number of passes depends on it.
 BLOCK_WORDS = 500_000
 #: Latent dimensions, oversampling and power iterations of the randomised SVD.
 RANK, OVERSAMPLE, POWER = 128, 32, 2
-#: Rows of the decomposed matrix from the corpus: one passage each of so many documents, those with the least hashes.
-SAMPLE_PASSAGES = 512
+#: How much all passages of the corpus weigh in the decomposed matrix, in terms of all passages of the benchmark.
+CORPUS = 4
 #: Columns of the matrix: words of the benchmark beyond this number share columns, and its words are bounded.
 COLUMNS, MOST_WORDS = 1 << 16, 4_000_000
 #: Passages: so many words, starting every half of it.
 PASSAGE = 32
+#: Numbers of the matrix that are multiplied at once.
+AT_ONCE = 1 << 13
 #: What a candidate passage needs: so much of its squared weight in words of the items, and this latent cosine.
 MASS, COSINE = 0.1, 0.4
 #: The least aligned share of an item: by itself, or with this share of its answer found.
@@ -114,12 +116,16 @@ class Space:
     def rows(self, texts: list[np.ndarray]):
         """(row, column, value) of the texts' unit TF-IDF vectors over the vocabulary's columns."""
         row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        word = find(self.vocabulary, np.concatenate(texts)) if texts else np.zeros(0, np.int64)
+        return self.cells(row, np.concatenate(texts) if texts else np.zeros(0, np.uint64), len(texts))
+
+    def cells(self, row: np.ndarray, h: np.ndarray, n_rows: int):
+        """The same for words h, of which each is in the text whose number is in row."""
+        word = find(self.vocabulary, h)
         row, word = row[word >= 0], word[word >= 0]
         cell, n = np.unique(row * len(self.vocabulary) + word, return_counts=True)
         row, word = cell // len(self.vocabulary), cell % len(self.vocabulary)
         value = n * self.idf[word]
-        norm = np.sqrt(np.bincount(row, value**2, len(texts)))
+        norm = np.sqrt(np.bincount(row, value**2, n_rows))
         return row, word % COLUMNS, value / np.maximum(norm[row], 1e-12)
 
 
@@ -131,75 +137,136 @@ def passages_of(h: np.ndarray) -> list[np.ndarray]:
     return [h[a : a + PASSAGE] for a in at]
 
 
-def sampled_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of the decomposed matrix, as texts' word hashes: (words binary). All passages of the benchmark, and one
-    passage each of a bounded sample of docs, from a place that the document's hash picks."""
-    picked = smallest(docs.select(spread("id", "text").alias("at")), "at", SAMPLE_PASSAGES)
-    some = docs.sparkSession.createDataFrame([(x,) for x in sorted({r.at for r in picked})], "at long")
-    corpus = docs.withColumn("at", spread("id", "text")).join(F.broadcast(some), "at").dropDuplicates(["at"])
+def benchmark_passages(benchmark: DataFrame) -> DataFrame:
+    """All passages of the benchmark as word hashes: (words binary)."""
+
+    def run(batches):
+        for b in batches:
+            own = [x for _, w in words_of(b.column(0)) for k in range(len(w.first) - 1) if w.first[k] < w.first[k + 1] for x in passages_of(w.h[w.first[k] : w.first[k + 1]])]
+            yield pa.record_batch([pa.array([x.tobytes() for x in own], pa.binary())], names=["words"])
+
+    return benchmark.select("text").mapInArrow(freed(run), "words binary")
+
+
+def tiles(w: Words) -> np.ndarray:
+    """For each word the number of its passage, where texts are cut into passages that follow one another."""
+    n = -(-np.diff(w.first) // PASSAGE)
+    return (np.cumsum(n) - n)[w.doc] + (np.arange(len(w)) - w.first[w.doc]) // PASSAGE
+
+
+def add_terms(total: np.ndarray, q: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray) -> None:
+    """Adds X'(Xq) to total; X is given by its rows (in order), columns and values."""
+    value = value.astype(np.float32)
+    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+    y = np.zeros((len(starts), q.shape[1]), np.float32)
+    nth = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(row)]))
+    for k in range(0, len(starts), AT_ONCE // PASSAGE):
+        a, b = starts[k], starts[k + AT_ONCE // PASSAGE] if k + AT_ONCE // PASSAGE < len(starts) else len(row)
+        y[k : k + AT_ONCE // PASSAGE] = np.add.reduceat(q[col[a:b]] * value[a:b, None], starts[k : k + AT_ONCE // PASSAGE] - a, axis=0)
+    order = np.argsort(col, kind="stable")
+    for k in range(0, len(order), AT_ONCE):
+        part = order[k : k + AT_ONCE]
+        c = col[part]
+        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        total[c[first]] += np.add.reduceat(y[nth[part]] * value[part, None], first, axis=0)
+
+
+def _sum(terms: DataFrame, shape: tuple[int, int]) -> tuple[np.ndarray, int]:
+    """The sum of terms (column, term, n), and of n; added up on the executors, the driver gets each column once."""
+
+    def add(group):
+        column, at = np.unique(group.column("column").to_numpy(), return_inverse=True)
+        total = np.zeros((len(column), shape[1]))
+        np.add.at(total, at, np.frombuffer(b"".join(group.column("term").to_pylist()), np.float32).reshape(-1, shape[1]))
+        n = np.bincount(at, group.column("n").to_numpy(), len(column)).astype(np.int64)
+        return pa.table({"column": column, "term": pa.array([x.tobytes() for x in total.astype(np.float32)], pa.binary()), "n": n})
+
+    got = terms.groupBy((F.col("column") % 64).alias("part")).applyInArrow(add, TERMS).toArrow()
+    out = np.zeros(shape)
+    for c, t in zip(got.column("column").to_pylist(), got.column("term").to_pylist(), strict=True):
+        if c >= 0:
+            out[c] = np.frombuffer(t, np.float32)
+    return out, sum(got.column("n").to_pylist())
+
+
+#: Columns of X'(Xq) from one task; the row of column -1 has the number of X's rows in n.
+TERMS = "column long, term binary, n long"
+
+
+def _terms(total: np.ndarray, rows: int) -> pa.RecordBatch:
+    used = np.flatnonzero(total.any(axis=1))
+    term = [np.zeros(total.shape[1], np.float32).tobytes(), *(x.tobytes() for x in total[used])]
+    return pa.record_batch([pa.array(np.r_[-1, used]), pa.array(term, pa.binary()), pa.array(np.r_[rows, np.zeros(len(used), np.int64)])], names=["column", "term", "n"])
+
+
+def corpus_factor(docs: DataFrame, own, q: np.ndarray) -> tuple[np.ndarray, int]:
+    """(f, n): f f' stands for C'C, where C's n rows are all passages of all of docs that have any of the items' words,
+    cut so that each word is in one.
+
+    One pass: each task makes C_p'(C_p q) of the documents it has; with the sum S, C'C is S (q'S)^-1 S' (Nystrom's
+    approximation for random orthonormal q), exactly so if q spans all columns.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(q)
 
     def run(batches):
+        q, n = shared.value, 0
+        total = np.zeros(q.shape, np.float32)
         for b in batches:
-            out = []
-            place = b.column(1).to_pylist()
-            for a, w in words_of(b.column(0)):
-                for k in range(len(w.first) - 1):
-                    h = w.h[w.first[k] : w.first[k + 1]]
-                    if len(h):
-                        own = passages_of(h)
-                        out += [x.tobytes() for x in (own if place[a + k] is None else [own[place[a + k] % len(own)]])]
-            yield pa.record_batch([pa.array(out, pa.binary())], names=["words"])
-
-    both = benchmark.select("text", F.lit(None).cast("long").alias("at")).union(corpus.select("text", F.abs(F.col("at") % 1_000_003).alias("at")))
-    return both.mapInArrow(freed(run), "words binary")
-
-
-def latent_basis(texts: DataFrame, space: Space, rank: int) -> np.ndarray:
-    """The leading right singular vectors of the texts' TF-IDF matrix X, each divided by its singular value, as texts are
-    folded into a latent space: else the few directions that tell languages apart would decide every cosine.
-
-    Randomised subspace iteration (Halko, Martinsson and Tropp, 2011), distributed over the rows of X: every pass
-    broadcasts the current basis Q, each task makes the term X_p'(X_p Q) of X'XQ for the columns it meets, the terms are
-    added up column by column on the executors, and the driver orthonormalises the sum (COLUMNS x rank numbers at most).
+            for _, w in words_of(b.column(0)):
+                if len(w):
+                    row = tiles(w)
+                    row, col, value = own.value.cells(row, w.h, int(row[-1]) + 1)
+                    n += len(np.unique(row))
+                    add_terms(total, q, row, col, value)
+        yield _terms(total, n)
+
+    total, n = _sum(docs.select("text").mapInArrow(freed(run), TERMS), q.shape)
+    core = q.T.astype(float) @ total
+    weight, u = np.linalg.eigh((core + core.T) / 2)
+    some = weight > 1e-6 * max(weight.max(initial=0), 1e-12)
+    return total @ (u[:, some] / np.sqrt(weight[some])), n
+
+
+def latent_basis(docs: DataFrame, benchmark: DataFrame, space: Space, rank: int) -> np.ndarray:
+    """The leading right singular vectors of the TF-IDF matrix X of all passages of the benchmark and all passages of
+    docs, which weigh CORPUS times as much together as those of the benchmark, each divided by its singular value, as
+    texts are folded into a latent space: else the few directions that tell languages apart would decide every cosine.
+    A direction of less weight than one passage is divided by that of one, so that what few texts share isn't blown up.
+
+    Randomised subspace iteration (Halko, Martinsson and Tropp, 2011), distributed over the rows of X: docs are read
+    once, for a factor of their part of X'X; every pass over the benchmark broadcasts the current basis Q, each task
+    makes the term X_p'(X_p Q) of X'XQ for the columns it meets, the terms are added up column by column on the
+    executors, and the driver orthonormalises the sum (COLUMNS x rank numbers at most).
     """
-    spark = texts.sparkSession
+    spark = docs.sparkSession
     rng = np.random.default_rng(7)
     width = min(rank + OVERSAMPLE, space.columns)
     q = np.linalg.qr(rng.standard_normal((space.columns, width)))[0].astype(np.float32)
     own = spark.sparkContext.broadcast(space)
+    factor, n_docs = corpus_factor(docs, own, q)
+    texts = benchmark_passages(benchmark)
     for _ in range(POWER + 1):
         shared = spark.sparkContext.broadcast(q)
 
         def run(batches, shared=shared):
-            q, total, met = shared.value, np.zeros(shared.value.shape, np.float32), np.zeros(len(shared.value), bool)
+            q, n = shared.value, 0
+            total = np.zeros(q.shape, np.float32)
             for b in batches:
                 rows = [np.frombuffer(x, np.uint64) for x in b.column(0).to_pylist()]
-                row, col, value = own.value.rows(rows)
-                y = np.zeros((len(rows), q.shape[1]), np.float32)
-                value = value.astype(np.float32)
-                np.add.at(y, row, value[:, None] * q[col])
-                np.add.at(total, col, value[:, None] * y[row])
-                met[col] = True
-            used = np.flatnonzero(met)
-            yield pa.record_batch([pa.array(used), pa.array([x.tobytes() for x in total[used]], pa.binary())], names=["column", "term"])
-
-        def add(group):
-            column, at = np.unique(group.column("column").to_numpy(), return_inverse=True)
-            total = np.zeros((len(column), width))
-            np.add.at(total, at, np.frombuffer(b"".join(group.column("term").to_pylist()), np.float32).reshape(-1, width))
-            return pa.table({"column": column, "term": pa.array([x.tobytes() for x in total.astype(np.float32)], pa.binary())})
-
-        terms = texts.mapInArrow(freed(run), "column long, term binary").groupBy((F.col("column") % 64).alias("part")).applyInArrow(add, "column long, term binary").toArrow()
-        total = np.zeros(q.shape)
-        for c, t in zip(terms.column("column").to_pylist(), terms.column("term").to_pylist(), strict=True):
-            total[c] = np.frombuffer(t, np.float32)
+                n += len(rows)
+                if rows:
+                    add_terms(total, q, *own.value.rows(rows))
+            yield _terms(total, n)
+
+        total, n = _sum(texts.mapInArrow(freed(run), TERMS), q.shape)
+        total += factor @ (factor.T @ q) * (CORPUS * n / max(1, n_docs))
         q, triangle = np.linalg.qr(total)
         # directions without any weight say nothing
         q = (q * (np.abs(np.diag(triangle)) > 1e-7)).astype(np.float32)
     # the leading directions of what the last pass spans; its weights are squares of the singular values
     left, weight, _ = np.linalg.svd(triangle)
     own = weight[:rank] > 1e-6 * max(weight[:1].max(initial=0), 1e-12)
-    return (q @ left[:, :rank][:, own] / np.sqrt(weight[:rank][own])).astype(np.float32)
+    return (q @ left[:, :rank][:, own] / np.sqrt(np.maximum(weight[:rank][own], 1.0))).astype(np.float32)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -322,14 +389,14 @@ def _batches(rows, n: int):
 
 def _searchers(docs: DataFrame, benchmark: DataFrame, rank: int):
     """A broadcast Searcher for each block of items; docs: (id, text), benchmark: (item_id, text). All blocks have the
-    same weights, from one pass over docs, and the same basis."""
+    same weights, from one pass over docs, and the same basis, from another."""
     spark = docs.sparkSession
     vocabulary = vocabulary_of(benchmark)
     if not len(vocabulary):
         return
     df, n = document_frequencies(docs, spark.sparkContext.broadcast(vocabulary))
     space = Space(vocabulary, np.log((n + 1) / (df + 1)) + 1e-3, float(np.log(n + 1)) + 1e-3)
-    basis = latent_basis(sampled_passages(docs, benchmark), space, rank)
+    basis = latent_basis(docs, benchmark, space, rank)
     for items in _blocks(benchmark):
         yield spark.sparkContext.broadcast(Searcher(items, space, basis))
 
@@ -346,8 +413,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item_id, cosine, covered, answer_covered, first_word, end_word): a row for each benchmark item found in
     each row of docs.
 
-    TF-IDF weights come from all of docs; one latent basis of rank dimensions from the passages of the benchmark and a
-    bounded sample of the corpus; every passage of every document is a query against every item. A candidate counts if
+    TF-IDF weights come from all of docs; one latent basis of rank dimensions from all passages of the benchmark and of
+    docs; every passage of every document is a query against every item. A candidate counts if
     the longest common subsequence of its words and the item's covers COVERED of the item, or COVERED_WITH_ANSWER of it
     and ANSWER of its answer.
 

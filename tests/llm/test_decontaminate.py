@@ -73,6 +73,31 @@ def test_finds_copies_of_more_items_than_the_rank(spark):
     assert sum((i, i) in got for i, _ in items) == len(items)
 
 
+def test_every_passage_of_every_document_is_in_the_matrix(spark):
+    """The corpus's part of X'X against brute force over 700 documents; none may be left out."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(50)]
+    texts = [" ".join(rng.choices([*words, "other", "more"], k=rng.randrange(0, 120))) for _ in range(700)] + [None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(5)
+    vocabulary = D.vocabulary_of(spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"))
+    place = {w: int(D.find(vocabulary, next(D.words_of(D.pa.array([w])))[1].h)[0]) for w in words}
+    idf = np.linspace(1, 3, 50)
+    want, rows = np.zeros((50, 50)), 0
+    for t in texts:
+        own = (t or "").split()
+        for a in range(0, len(own), D.PASSAGE):
+            x = np.zeros(50)
+            for w in own[a : a + D.PASSAGE]:
+                if w in place:
+                    x[place[w]] += idf[place[w]]
+            rows += x.any()
+            x /= max(np.linalg.norm(x), 1e-12)
+            want += np.outer(x, x)
+    q = np.linalg.qr(np.random.default_rng(1).standard_normal((50, 50)))[0].astype(np.float32)
+    factor, n = D.corpus_factor(df, spark.sparkContext.broadcast(D.Space(vocabulary, idf, 3.0)), q)
+    assert n == rows > 1000 and np.allclose(factor @ factor.T, want, rtol=1e-3, atol=1e-2)
+
+
 def test_recall_of_paraphrases_against_all_pairs(spark):
     """200 items, a basis of 64 dimensions, real documents: of the changed copies that all-pairs alignment accepts, with
     10, 20 and 30 % of the words changed, 0.9 at least are found; copies word by word all are, and nothing else is."""
