@@ -307,20 +307,23 @@ def _without(text: str, covered: np.ndarray) -> str:
     return " ".join(out)
 
 
+def _unguarded(own: list[tuple[bool, bool, str]]) -> list[tuple[bool, bool, str]]:
+    """The page's blocks; those that its structure decides have no text: what an article holds stays, what is marked goes."""
+    return [(True, False, "") if main or bad else (main, bad, t) for main, bad, t in own]
+
+
 def _texts(pages: list[list[tuple[bool, bool, str]]], hosts: list[str], boilerplate: np.ndarray, run: int) -> list[str]:
-    """Each page's main text: of an article what isn't marked, else the blocks without their boilerplate."""
-    article = [any(main and not bad for main, bad, _ in own) for own in pages]
+    """Each page's main text: what its structure decides, and of all other blocks what isn't boilerplate."""
+    stream = Stream([_unguarded(own) for own in pages], hosts)
     left: dict[tuple[int, int], str] = {}
-    if not all(article):
-        loose = [[] if a else own for a, own in zip(article, pages, strict=True)]
-        stream = Stream(loose, hosts)
+    if stream.spans:
         gone = stream.covered(run, boilerplate)
         for p, k, a, b in stream.spans:
             if gone[a:b].any():
                 left[p, k] = _without(pages[p][k][2], gone[a:b])
     out = []
-    for p, (own, a) in enumerate(zip(pages, article, strict=True)):
-        stays = [left.get((p, k), t) for k, (main, bad, t) in enumerate(own) if not bad and (main or not a)]
+    for p, own in enumerate(pages):
+        stays = [left.get((p, k), t) for k, (_, bad, t) in enumerate(own) if not bad]
         out.append("\n".join(t for t in stays if t))
     return out
 
@@ -350,12 +353,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(page_id, url, text, n_chars) for every row of pages: the main text, blocks joined by one newline.
 
     Suffix arrays over the token streams of all pages of a host, outside of article and main elements, give the runs of
-    run tokens (and whole blocks of fewer) that occur on least_pages distinct pages: boilerplate. Covered runs go,
-    unique ones stay. The structure guards: what an article or main element holds stays but for parts that are marked
-    as no article's, and what elements, roles and names mark as navigation, notices, adverts and the like goes even if
-    it is unique. Counts are sums over the whole host by keys of the runs, so a result depends on the host's pages only,
-    not on how they are dealt out. The boilerplate goes to the workers if it has at most most_runs keys; else each
-    page's keys meet it in a join, with the same result.
+    run tokens (and whole blocks of fewer) that occur on least_pages distinct pages: boilerplate. On every page, with an
+    article element or without, covered runs go and unique ones stay. The structure guards: what an article or main
+    element holds stays but for parts that are marked as no article's, and what elements, roles and names mark as
+    navigation, notices, adverts and the like goes even if it is unique. Counts are sums over the whole host by keys of
+    the runs, so a result depends on the host's pages only, not on how they are dealt out. The boilerplate goes to the
+    workers if it has at most most_runs keys; else each page's keys meet it in a join, with the same result.
 
     Null html is an empty page with an empty text; a null url is a host of its own with all null urls. Repeated rows
     and null ids stay; rows of one url are one page, however many. An empty table gives no row. Other columns aren't read.
@@ -389,8 +392,8 @@ def _joined(rows: DataFrame, common: DataFrame, run: int) -> DataFrame:
             for part, own, hosts in _parts(b, 500):
                 page = part.column("page")
                 for p in range(len(own)):
-                    if not any(main and not bad for main, bad, _ in own[p]):
-                        stream = Stream([own[p]], [hosts[p]])
+                    stream = Stream([_unguarded(own[p])], [hosts[p]])
+                    if stream.spans:
                         key = np.unique(np.r_[stream.keys(run, stream.starts(run)), stream.short(run)[1]])
                         yield pa.record_batch([pa.array([page[p].as_py()] * len(key), pa.binary()), pa.array(key)], names=["page", "key"])
 

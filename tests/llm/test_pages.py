@@ -118,6 +118,21 @@ def test_notices_of_a_large_host_and_common_phrases(spark):
         assert {r.page_id: r.text for r in main_text(df.repartition(parts), most_runs=most).collect()} == want
 
 
+def test_runs_decide_beside_an_article_too(spark):
+    """Outside of an article element, what is unmarked goes if the host repeats it and stays if it is unique."""
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows, want = [], {}
+    for i in range(12):
+        title, end, own = (" ".join(word() for _ in range(n)) for n in (3, 12, 9))
+        motto = "Everything on this site was written by hand and by night"
+        rows.append((i, f"http://h.example/{i}", f"<div>Home Products Shop</div><h1>{title}</h1><article><p>{own}</p><p>{motto}</p></article><p>{end}</p><div>{word()} {motto}</div><div class=promo>{word()}</div>"))
+        want[i] = "\n".join([title, own, motto, end, re.search(r"<div>(\w+) Every", rows[-1][2])[1]])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most, parts in ((10**6, 1), (10**6, 5), (0, 3)):
+        assert {r.page_id: r.text for r in main_text(df.repartition(parts), most_runs=most).collect()} == want
+
+
 def test_pages_without_their_article_tags(spark):
     """What the runs and the remaining structure find where no element marks the article."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
