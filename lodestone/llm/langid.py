@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lodestone.llm.common import as_row, chunks, column_of, fold, freed, spread, table
+from lodestone.llm.common import as_row, chunks, column_of, fold, freed, stage, table
 
 ORDER = 3
-#: The training sample: at most so many documents of a language, and of these as many as fit into so many bytes.
-SAMPLE_DOCS, SAMPLE_BYTES = 600, 1 << 20
-#: A context is kept if it occurs so often in one language's sample; rarer ones give way to the next shorter one.
-LEAST_COUNT = 3
+#: A context is kept if it occurs so often in one language, and so often in each PER bytes of it on average; rarer ones
+#: give way to the next shorter one. So no language has more than PER / LEAST_COUNT contexts of an order.
+LEAST_COUNT, PER = 3, 1 << 20
+#: Numbers that a task holds before it adds up equal ones, and different ones before it passes them on.
+AT_ONCE = 1 << 20
 #: Bound of the table that goes to the workers: a model that would need more is refused, never thinned out.
 TABLE_BYTES = 256 << 20
 SCALE = 512.0
@@ -53,12 +55,24 @@ class Model:
             texts = [t for t in samples[lang] if t]
             data[lang] = fold(np.frombuffer(b"".join(texts), np.uint8))
             starts[lang] = np.cumsum([0, *map(len, texts)])[:-1].astype(np.int64) if texts else np.zeros(0, np.int64)
-        seen = np.unique(np.concatenate([np.unique(d) for d in data.values()] or [np.zeros(0, np.uint8)]))
+        grams = {(lang, k): np.unique(_context(data[lang], starts[lang], k) * 256 + data[lang], return_counts=True) for lang in self.langs for k in range(order + 1)}
+        self._fill(grams, self._contexts(grams, least), table_bytes)
+
+    @classmethod
+    def of(cls, grams: dict, contexts: list[np.ndarray], table_bytes: int = TABLE_BYTES) -> Model:
+        """From counts: grams[language, k] has sorted k + 1 bytes as numbers and how often each occurs, for all contexts of
+        k bytes that are in contexts[k] (sorted; with each its shorter ones)."""
+        out = cls.__new__(cls)
+        out.langs = sorted({lang for lang, _ in grams})
+        out.order = len(contexts) - 1 if grams else 0
+        out._fill(grams, contexts, table_bytes)
+        return out
+
+    def _fill(self, grams: dict, contexts: list[np.ndarray], table_bytes: int) -> None:
+        seen = np.unique(np.concatenate([grams[lang, 0][0] for lang in self.langs] or [np.zeros(0, np.int64)]))
         self.symbol = np.zeros(256, np.int64)  # 0: a byte never seen
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         self.width = len(seen) + 1
-        grams = {(lang, k): np.unique(_context(data[lang], starts[lang], k) * 256 + data[lang], return_counts=True) for lang in self.langs for k in range(order + 1)}
-        contexts = self._contexts(grams, least)
         if (size := 2 * sum(map(len, contexts)) * self.width * len(self.langs)) > table_bytes:
             raise ValueError(f"the table of {len(self.langs)} languages has {size} bytes, {table_bytes} are allowed: ask for a smaller order or a larger least count")
         cost = np.full((1 + sum(map(len, contexts)), self.width, len(self.langs)), 8.0)
@@ -154,38 +168,70 @@ class Model:
         return names, scores
 
 
-def sample(docs: DataFrame, train, id_col: str, text_col: str, lang_col: str) -> dict[str, list[bytes]]:
-    """The bounded training sample: of each language the documents with the smallest hashes of their ids."""
-    at = spread(id_col, text_col)
-    rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    small = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), at.alias("at"), F.octet_length(text_col).alias("n"))
-    counts = {r.lang: r.n for r in small.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    # about four times as many as are wanted of each language are looked at, by hash; all of a rare language
-    least = F.lit(-(2**63)).cast("long")
-    for lang, n in counts.items():
-        share = 4 * SAMPLE_DOCS / n
-        least = F.when(F.col("lang") == lang, F.lit(2**63 - 1 if share >= 1 else int(-(2**63) + 2**64 * share)).cast("long")).otherwise(least)
-    first = Window.partitionBy("lang").orderBy("at", "id")
-    best = small.where(F.col("at") <= least).distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_DOCS)
-    picked = best.orderBy("lang", "rank").collect()
-    ids, left = [], {}
-    for r in picked:
-        left[r.lang] = left.get(r.lang, SAMPLE_BYTES) - r.n
-        if left[r.lang] >= 0 or left[r.lang] == SAMPLE_BYTES - r.n:
-            ids.append((r.id, r.at))
-    if not ids:
-        return {}
-    wanted = F.broadcast(docs.sparkSession.createDataFrame(sorted(set(ids)), "id long, at long"))
-    got = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), at.alias("at"), F.col(text_col).alias("text")).join(wanted, ["id", "at"]).dropDuplicates(["id", "at"])
-    out: dict[str, list[bytes]] = {}
-    for r in got.orderBy("lang", "at").collect():
-        out.setdefault(r.lang, []).append(r.text.encode())
-    return out
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(number, count), each number once and in order, of several such."""
+    gram, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    n = np.zeros(len(gram), np.int64)
+    np.add.at(n, at, np.concatenate([n for _, n in parts]))
+    return gram, n
 
 
-def train(docs: DataFrame, where, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of the languages of docs, from rows that satisfy where; lang_col is read for nothing else."""
-    return Model(sample(docs, where, id_col, text_col, lang_col))
+def _count(batches):
+    """For rows (lang, text): (lang, gram, n), how often a byte comes after the ORDER bytes before it; a number may come
+    several times."""
+
+    def out(lang: str):
+        gram, n = held.pop(lang)[0]
+        return pa.record_batch([pa.repeat(pa.scalar(lang), len(gram)), pa.array(gram.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for b in batches:
+        for lang in b.column(0).unique():
+            own = held.setdefault(lang.as_py(), [])
+            for _, _, data, offsets in chunks(b.column(1).filter(pc.equal(b.column(0), lang))):
+                data = fold(data)
+                own.append(np.unique((_context(data, offsets[:-1], ORDER) * 256 + data).astype(np.uint32), return_counts=True))
+                if sum(len(g) for g, _ in own) > AT_ONCE:
+                    own[:] = [_added(own)]
+            own[:] = [_added(own)] if own else []
+        while sum(len(own[0][0]) for own in held.values() if own) > AT_ONCE:
+            yield out(max((lang for lang in held if held[lang]), key=lambda lang: len(held[lang][0][0])))
+    for lang in [lang for lang in held if held[lang]]:
+        yield out(lang)
+
+
+def train(docs: DataFrame, where, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", table_bytes: int = TABLE_BYTES) -> Model:
+    """A model of the languages of docs, from all rows that satisfy where; lang_col is read for nothing else.
+
+    Every byte of every such text is counted, on the executors; the driver gets the counts of the contexts that are kept
+    (see LEAST_COUNT), however many texts there are. Repeated rows count each time. Rows without an id, a text or a
+    language teach nothing.
+    """
+    rows = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    parts = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(freed(_count), "lang string, gram long, n long")
+    longest = parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # the last bytes of the longest contexts are the shorter ones
+    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("gram") % 256 ** (k + 1)).alias("gram")) for k in range(ORDER + 1)]))
+    grams = stage(longest.select("lang", orders.alias("e"), "n").groupBy("lang", "e.k", "e.gram").agg(F.sum("n").alias("n")), "langid-grams")
+    grams = grams.withColumn("context", F.shiftright("gram", 8))
+    total = grams.where("k = 0").groupBy("lang").agg(F.sum("n").alias("bytes"))
+    least = F.greatest(F.lit(LEAST_COUNT), F.ceil(F.col("bytes") / (PER / LEAST_COUNT)))
+    seen = grams.groupBy("lang", "k", "context").agg(F.sum("n").alias("n")).join(total, "lang")
+    kept = stage(seen.where((F.col("k") == 0) | (F.col("n") >= least)).select("k", "context").distinct(), "langid-contexts")
+    langs, width = grams.where("k = 0").agg(F.count_distinct("lang"), F.count_distinct("gram")).first()
+    if (size := 2 * kept.count() * (width + 1) * langs) > table_bytes:  # before anything of that size is fetched
+        raise ValueError(f"the table of {langs} languages has {size} bytes, {table_bytes} are allowed: ask for a larger least count")
+    got = grams.join(kept, ["k", "context"], "left_semi").select("lang", "k", "gram", "n").orderBy("lang", "k", "gram").toArrow()
+    k, gram, n = (got.column(c).to_numpy() for c in ("k", "gram", "n"))
+    names = got.column("lang").combine_chunks().dictionary_encode()
+    lang, names = names.indices.to_numpy(), names.dictionary.to_pylist()
+    by = {}
+    for i, name in enumerate(names):
+        for o in range(ORDER + 1):
+            own = (lang == i) & (k == o)
+            by[name, o] = gram[own], n[own]
+    contexts = [np.unique(gram[k == o] >> 8) if o else np.zeros(1, np.int64) for o in range(ORDER + 1)]
+    return Model.of(by, contexts, table_bytes)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -5,7 +5,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from lodestone.llm import langid
 from lodestone.llm.langid import Model, fold, identify, remainder, train
 
 
@@ -74,3 +76,41 @@ def test_held_out_accuracy(spark):
     held = remainder("doc_id", 4) == 2
     out = identify(docs.where(held), train(docs, ~held)).selectExpr("row.lang", "lang_pred").where("lang is not null")
     assert out.where("lang = lang_pred").count() >= 0.98 * out.count()
+
+
+def test_every_text_is_counted(spark, monkeypatch):
+    """The model is that of all texts together, however many there are and however they are dealt out."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{rng.choice('bdfgklmnprstvz')}{rng.choice('aeioué')}{rng.choice('lnrst')}" for _ in range(rng.randrange(4))), "xx" if i % 5 else "yy") for i in range(3000)]
+    rows += [rows[0], rows[7], (9000, None, "xx"), (9001, "kein Wort", None), (None, "nobody", "yy"), (9002, "", "zz"), (9003, "ÉÀ" * 40000, "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    texts = {w: [t.encode() for i, t, lang in rows if lang == w and i is not None and t is not None] for w in ("xx", "yy")}
+    assert len(texts["xx"]) > 2000
+    got, want = train(docs, F.lit(True)), Model(texts)
+    assert got.langs == ["xx", "yy"] and got.order == want.order
+    assert all(np.array_equal(a, b) for a, b in zip(got.contexts, want.contexts, strict=True))
+    assert np.array_equal(got.bits, want.bits) and np.array_equal(got.next_, want.next_) and np.array_equal(got.symbol, want.symbol)
+    # of more bytes a context needs more: so many in each PER of them
+    monkeypatch.setattr(langid, "PER", 2000)
+    least = {w: max(3, math.ceil(sum(map(len, t)) / (2000 / 3))) for w, t in texts.items()}
+    alone = [Model({w: texts[w]}, least=n).contexts for w, n in least.items()]
+    fewer = train(docs, F.lit(True)).contexts
+    assert all(np.array_equal(c, np.union1d(a, b)) for c, a, b in zip(fewer, *alone, strict=True)) and len(fewer[3]) < len(got.contexts[3])
+    with pytest.raises(ValueError, match="bytes"):
+        train(docs, F.lit(True), table_bytes=1000)
+
+
+def test_counts_are_passed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(langid, "AT_ONCE", 10)
+    texts = [f"word{i} {i * 7919}" for i in range(50)]
+    parts = list(langid._count([pa.record_batch([pa.array(["a", "b"] * 25), pa.array(texts)], names=["lang", "text"])] * 3))
+    assert len(parts) > 2
+    got, want = Counter(), Counter()
+    for p in parts:
+        for lang, gram, n in zip(*(c.to_pylist() for c in p.columns), strict=True):
+            got[lang, gram] += n
+    for i, t in enumerate(texts):
+        f = b"   " + t.encode()
+        for at in range(3, len(f)):
+            want["ab"[i % 2], int.from_bytes(f[at - 3 : at + 1], "big")] += 3
+    assert got == want
