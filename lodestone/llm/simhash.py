@@ -123,11 +123,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stage(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     nodes = stage(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     roots = components(links(nodes, nodes.count(), distance)).withColumnRenamed("node", "fp")
-    named = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    # files of copies are small however many rows they hold, so their size must not send rows or codes to the driver
+    named = nodes.join(roots.hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = stage(named, "simhash-roots")
     groups = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(groups, "root").select("fp", "root", "component")
-    return rows.join(named, "fp").select("id", "th", "fp", "root", "component")
+    named = named.join(groups.hint("merge"), "root").select("fp", "root", "component")
+    return rows.join(named.hint("merge"), "fp").select("id", "th", "fp", "root", "component")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

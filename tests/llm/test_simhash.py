@@ -91,3 +91,13 @@ def test_probes_are_never_broadcast(spark, tmp_path):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_rows_are_never_broadcast(spark):
+    """Rows of copies make a small file: they must not go to the driver, though the planner takes them for few."""
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("one text in all of the rows").alias("text"))
+    found = near_duplicates(docs)
+    assert found.groupBy("component").count().collect() == [(0, 20000)]
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
